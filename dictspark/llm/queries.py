@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dictspark.llm.langid import op4_language_id
 from dictspark.llm.minhash import op10_minhash_near_dedup
+from dictspark.llm.quality import op6_quality_classifier
+from dictspark.llm.tokenbin import op1_token_id_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_id_output": op1_token_id_output,
+    "op4_language_id": op4_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
