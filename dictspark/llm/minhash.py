@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,10 @@ BINS, BANDS, ROWS = 1 << 20, 32, 5
 #: Members checked against one copy of their leader's text.
 SALT = 512
 
-_SIGNATURE_SCHEMA = "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint"
+#: Cells of the table of shingle counts by which prefixes are ordered.
+CELLS = 1 << 18
+
+_SIGNATURE_SCHEMA = "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
 _PERMUTATIONS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -61,14 +63,8 @@ def _signatures(width: int):
             keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS)).copy()
             for k in range(ROWS):
                 keys = wordhash.mix(keys * np.uint64(0x9FB21C651E98DF25) + sig[:, k::ROWS][:, :BANDS])
-            bits = np.zeros((n, 192), np.uint8)
-            bits[:, : BANDS * ROWS] = wordhash.mix(sig.astype(np.uint64)) & np.uint64(1)
-            sketch = np.packbits(bits, axis=1).view(np.int64).reshape(n, 3) if n else np.zeros((0, 3), np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), bands, *(pa.array(sketch[:, k].copy()) for k in range(3))],
-                names=["id", "n", "d1", "d2", "bands", "s0", "s1", "s2"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), bands], names=["id", "n", "d1", "d2", "bands"])
 
     return run
 
@@ -117,13 +113,71 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return dealt.mapInArrow(_verify(width, percent), "a bigint, b bigint").distinct()
 
 
+def _cells(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            hashes, first = wordhash.words(*text_bytes(batch.column("text")))
+            for i in range(batch.num_rows):
+                own = wordhash.shingles(hashes[first[i] : first[i + 1]], width)
+                total += np.bincount((own >> np.uint64(46)).astype(np.int64), minlength=CELLS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "c"])
+
+    return run
+
+
+def _prefixes(width: int, percent: int, shared):
+    """The rarest shingles of each set, as many as a similar set must share one of, without those that occur once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, first = wordhash.words(*text_bytes(batch.column("text")))
+            token, place, size, row = [], [], [], []
+            for i in range(batch.num_rows):
+                own = wordhash.shingles(hashes[first[i] : first[i + 1]], width)
+                n = len(own)
+                times = shared.value[(own >> np.uint64(46)).astype(np.int64)]
+                order = np.lexsort((own, times))[: n - -(-percent * n // 100) + 1]
+                at = np.flatnonzero(times[order] > 1)
+                token.append(own[order[at]].view(np.int64))
+                place.append(at)
+                size.append(np.full(len(at), n))
+                row.append(np.full(len(at), i))
+            take = pa.array(np.concatenate(row) if row else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token or [np.zeros(0, np.int64)])), batch.column("id").take(take), batch.column("comp").take(take), pa.array(np.concatenate(size or [np.zeros(0, np.int64)])), pa.array(np.concatenate(place or [np.zeros(0, np.int64)]))], names=["token", "id", "comp", "n", "at"])
+
+    return run
+
+
+def prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(leader, id) of all rows of docs(id, comp, text) in different components that may be similar enough.
+
+    All sets are put in one order, rare shingles first. Two sets whose similarity suffices share a shingle of their
+    prefixes; at the first of these, what is left of both bounds what they can still share. Pairs that fall below
+    the bound are never made. The order comes from a table of CELLS counts, the only thing that is broadcast.
+    """
+    cells = docs.mapInArrow(_cells(width), "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c"))
+    counts = np.zeros(CELLS, np.int64)
+    for row in cells.toLocalIterator():
+        counts[row["cell"]] = row["c"]
+    rows = docs.mapInArrow(_prefixes(width, percent, docs.sparkSession.sparkContext.broadcast(counts)), "token bigint, id bigint, comp bigint, n bigint, at bigint")
+    rows = materialize(rows, "prefixes")
+    both = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    x, y = rows.join(both, "token").alias("x"), rows.alias("y")
+    left = "least(x.n - x.at, y.n - y.at)"
+    found = x.join(y, F.expr(f"x.token = y.token and x.comp < y.comp and 100 * {left} >= {percent} * (x.n + y.n - {left})"))
+    return found.select(F.least("x.id", "y.id").alias("leader"), F.greatest("x.id", "y.id").alias("id")).where("leader < id").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     Documents are linked whose sets of distinct width-word shingles have a Jaccard similarity of percent / 100 or
-    more. Equal sets are one class from the start. Classes that share a band of the signature are candidates: each
-    class is checked against the leader with which it shares most bands; then all candidates that are still in
-    different components, if their sketches don't rule them out (at six standard deviations). Checks use whole sets.
+    more. Equal sets are one class from the start. Classes that share a band of the signature are candidates. First
+    each is checked against the leader with which it shares most bands; the leader of a bucket is its member with
+    most company in all its buckets, so that a family of copies has few. Then prefix_pairs() finds every pair in
+    buckets that still hold several components, and all of these are checked. Checks use whole sets.
 
     Null or wordless texts are linked with nothing. Rows with a null doc_id are returned with a null component_id and
     kept. Rows that share a doc_id count as one document with several texts. Other columns are not read.
@@ -132,27 +186,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = materialize(docs.mapInArrow(_signatures(width), _SIGNATURE_SCHEMA), "signatures")
     sets = ["d1", "d2", "n"]
     usable = signed.where("n > 0 and id is not null")
-    classes = materialize(usable.groupBy(*sets).agg(F.min(F.struct("id", "bands", "s0", "s1", "s2")).alias("r")).select(*sets, "r.*"), "classes")
+    classes = materialize(usable.groupBy(*sets).agg(F.min(F.struct("id", "bands")).alias("r")).select(*sets, "r.*"), "classes")
 
     rows = classes.select(F.explode("bands").alias("key"), "id")
-    shared = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
-    buckets = materialize(rows.join(shared, "key"), "buckets")
-    best = buckets.where("id <> leader").groupBy("id", "leader").count().groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    firm = materialize(verified(docs, materialize(best, "pairs"), width, percent), "links")
+    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
+    buckets = materialize(rows.join(shared.hint("merge"), "key"), "buckets")
+    company = buckets.groupBy("id").agg(F.sum("c").alias("company"))
+    leaders = buckets.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("m"))).alias("r")).select("key", (-F.col("r.m")).alias("leader"))
+    shares = buckets.select("key", "id").join(leaders, "key").where("id <> leader").groupBy("id", "leader").count()
+    best = materialize(shares.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")), "pairs")
+    near = materialize(docs.join(company.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"), "near")
+    firm = materialize(verified(near, best, width, percent), "links")
     labels = connected_components(firm)
 
     placed = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    sketches = classes.select("id", F.col("n").alias("size"), "s0", "s1", "s2")
-    open_ = materialize(placed.join(split, "key").join(sketches, "id"), "open")
-    coordinates, share = BANDS * ROWS, (1 - percent / 100) / 2
-    most = math.floor(coordinates * share + 6 * math.sqrt(coordinates * share * (1 - share)))
-    x, y = open_.alias("x"), open_.alias("y")
-    differ = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(3))
-    maybe = x.join(y, F.expr(f"x.key = y.key and x.comp < y.comp and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) and {differ} <= {most}"))
-    rest = materialize(maybe.select(F.least("x.id", "y.id").alias("leader"), F.greatest("x.id", "y.id").alias("id")).where("leader < id").distinct(), "pairs")
-    if not rest.isEmpty():
-        late = materialize(verified(docs, rest, width, percent), "links")
+    open_ = placed.join(split, "key", "left_semi").select("id", "comp").distinct()
+    texts = materialize(near.select(F.col("doc_id").alias("id"), "text").join(open_, "id"), "open")
+    rest = materialize(prefix_pairs(texts, width, percent), "pairs")
+    late = materialize(verified(near, rest, width, percent), "links")
+    if not late.isEmpty():
         labels = connected_components(firm.unionByName(late))
 
     named = classes.select(*sets, "id").join(labels, "id", "left").select(*sets, F.coalesce("comp", "id").alias("component_id"))
