@@ -13,6 +13,9 @@ _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
+#: Instead of white space alone: every ASCII character but letters and digits.
+MARKS = np.zeros(256, bool)
+MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _MULTIPLIER = 0xD1342543DE82EF95
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = 1 << 18
@@ -38,12 +41,12 @@ def _powers(n: int) -> list[np.ndarray]:
     return _TABLES
 
 
-def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, place of each document's first word) for documents raw[bounds[i]:bounds[i + 1]]."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    inside = ~_GAP[raw]
+    inside = ~gaps[raw]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     starts = inside.copy()
