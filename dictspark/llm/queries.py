@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dictspark.llm.chat import OP7_SQL, op7_chat_formatting
 from dictspark.llm.decontaminate import op2_benchmark_decontamination
+from dictspark.llm.jpeg import op8_media_columns
 from dictspark.llm.langid import op4_language_id
 from dictspark.llm.licenses import OP3_SQL, op3_license_scan
 from dictspark.llm.linededup import OP9_SQL, op9_line_dedup
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_media_columns": op8_media_columns,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
