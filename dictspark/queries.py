@@ -2,5 +2,657 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dictspark.functions import casing, edits, metrics, text
+from dictspark.kernel.rules import Rules
+from dictspark.operators.affix import hypotheses, stripped
+from dictspark.operators.compound import compounds
+from dictspark.operators.convert import converted, phonetic_codes
+from dictspark.operators.correct import slips, suggestions
+from dictspark.operators.expand import expanded
+from dictspark.operators.lookup import analysed, checked, spelled
+from dictspark.operators.probe import has_flag, homonyms
+from dictspark.operators.similar import nearest_roots
+from dictspark.plans.corpus import error_rates, token_counts, top_misspellings
+from dictspark.sources.affdic import parse_rules
+from dictspark.sources.dictionary import Dictionary
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# A dictionary of the data itself: lower-cased words of English documents that occur often enough, flags by formula.
+
+#: Least count and length of a stem.
+LEAST_COUNT, LEAST_LENGTH = 5, 2
+#: Flags and when a stem (with count c) has them; the conditions are valid in Spark SQL and in DuckDB.
+STEM_FLAGS = {
+    "S": "right(stem, 1) <> 's'", "D": "length(stem) % 2 = 0", "G": "length(stem) % 3 = 0", "Y": "c % 2 = 0", "L": "length(stem) >= 5", "U": "left(stem, 1) < 'n'",
+    "R": "left(stem, 1) >= 'n'", "P": "length(stem) % 4 = 0", "T": "length(stem) % 4 = 0", "X": "c % 31 = 0", "Q": "c % 29 = 0", "N": "c % 23 = 0", "K": "c % 19 = 0",
+    "O": "c % 37 = 0", "C": "length(stem) <= 5",
+}
+AFF = """
+TRY esianrtolcdugmphbyfvkwz
+REP 3
+REP f ph
+REP ou u
+REP tion shun
+MAP 2
+MAP aàâ
+MAP eéèê
+SFX S Y 2
+SFX S y ies [^aeiou]y
+SFX S 0 s [^sxzhy]
+SFX D Y 1
+SFX D 0 ed [^ey]
+SFX G Y 2
+SFX G e ing e
+SFX G 0 ing [^e]
+SFX Y N 1
+SFX Y 0 ly .
+SFX L Y 1
+SFX L 0 less/Y .
+SFX T Y 1
+SFX T 0 en/Z .
+PFX U Y 1
+PFX U 0 un .
+PFX R Y 1
+PFX R 0 re [^r]
+PFX P Y 1
+PFX P 0 be/Z .
+"""
+ROLES = {"FORBIDDENWORD": "X", "NOSUGGEST": "Q", "NEEDAFFIX": "N", "KEEPCASE": "K", "ONLYINCOMPOUND": "O", "CIRCUMFIX": "Z"}
+
+
+def rules(*roles: str) -> Rules:
+    """The rules, with those flags of ROLES that are named."""
+    return parse_rules((AFF + "".join(f"{role} {ROLES[role]}\n" for role in roles)).encode())
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    counts = counts.select(F.col("word").alias("stem"), F.col("count").alias("c")).where((F.col("c") >= LEAST_COUNT) & (F.length("stem") >= LEAST_LENGTH))
+    flags = F.filter(F.array(*(F.when(F.expr(when), flag) for flag, when in STEM_FLAGS.items())), lambda x: x.isNotNull())
+    return counts.select("stem", "c", flags.alias("flags"))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stems as a dictionary table. Ids are no running numbers, which would need one task for all rows."""
+    nothing = F.array().cast("array<string>")
+    return stems(spark, sf_dir).select(F.xxhash64("stem").alias("line_no"), "stem", "flags", F.create_map().cast("map<string,array<string>>").alias("data"), nothing.alias("alt_spellings"), casing.kind(F.col("stem")).alias("captype"))
+
+
+def affixes(spark: SparkSession) -> DataFrame:
+    return Dictionary(rules(), []).affixes(spark)
+
+
+def dictionary(spark: SparkSession, sf_dir: str, *roles: str) -> Dictionary:
+    """The stems as a Dictionary: an .aff and a .dic text like any other."""
+    rows = stems(spark, sf_dir).orderBy("stem").select(F.concat_ws("/", "stem", F.array_join("flags", "")).alias("line"))
+    lines = [r["line"] for r in rows.toLocalIterator()]
+    aff = "SET UTF-8\n" + AFF + "".join(f"{role} {ROLES[role]}\n" for role in roles)
+    return Dictionary.from_bytes(aff.encode(), "\n".join([str(len(lines)), *lines]).encode())
+
+
+def distinct_words(spark: SparkSession, sf_dir: str, name: str = "documents", lower: bool = True) -> DataFrame:
+    return token_counts(table(spark, sf_dir, name), lower=lower).select("word")
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+# SQL of the same dictionary
+
+_LETTERS = r"regexp_extract_all({0}, '(\p{{L}}+)')"
+_COUNTS = f"tok AS (SELECT lang, doc_id, unnest({_LETTERS.format('lower(text)')}) AS word FROM documents)"
+_FLAGS = "list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{flag}' END" for flag, when in STEM_FLAGS.items()) + "], lambda x: x IS NOT NULL)"
+_DICT = f"{_COUNTS}, dict AS (SELECT stem, c, {_FLAGS} AS flags FROM (SELECT word AS stem, count(*) AS c FROM tok WHERE lang = 'en' GROUP BY 1) WHERE c >= {LEAST_COUNT} AND length(stem) >= {LEAST_LENGTH})"
+_WORDS = f"{_DICT}, words AS (SELECT DISTINCT word FROM tok)"
+
+
+def _quoted(x) -> str:
+    return "'" + str(x).replace("'", "''") + "'"
+
+
+def _affix_rows() -> str:
+    rows = [x for kind in ("PFX", "SFX") for x in rules().all_affixes(kind)]
+    values = (f"({_quoted(x.kind)}, {x.order}, {_quoted(x.flag)}, {x.cross}, {_quoted(x.strip)}, {_quoted(x.add)}, {_quoted(x.condition)}, [{', '.join(map(_quoted, sorted(x.flags)))}]::VARCHAR[])" for x in rows)
+    return f"affixes(kind, ord, flag, crossed, strip, affix, condition, flags) AS (VALUES {', '.join(values)})"
+
+
+def _off(kind: str, source: str, word: str, also: str) -> str:
+    """Rows of source with one affix off: stem, a (the rule) and what else is asked for."""
+    if kind == "SFX":
+        stem, end, fits = f"left({word}, length({word}) - length(a.affix)) || a.strip", f"suffix({word}, a.affix)", "'(?:' || a.condition || ')$'"
+    else:
+        stem, end, fits = f"a.strip || substr({word}, length(a.affix) + 1)", f"starts_with({word}, a.affix)", "'^(?:' || a.condition || ')'"
+    return f"SELECT {also}, {stem} AS stem FROM {source} s JOIN affixes a ON a.kind = '{kind}' AND {end} WHERE regexp_matches({stem}, {fits})"
+
+
+_NO_RULE = "NULL::VARCHAR AS {0}flag, NULL::VARCHAR[] AS {0}flags"
+_HYP = ", ".join([
+    _affix_rows(),
+    f"h1 AS ({_off('SFX', 'forms', 'form', 's.*, ' + _NO_RULE.format('p') + ', a.flag AS sflag, a.flags AS sflags, []::VARCHAR[][] AS outers, [1, length(a.affix), a.ord] AS ordinal')})",
+    f"h2 AS ({_off('SFX', 'h1', 's.stem', 's.word, s.kind, s.variant, s.form, s.pflag, s.pflags, a.flag AS sflag, a.flags AS sflags, [s.sflags] AS outers, s.ordinal || [length(a.affix), a.ord] AS ordinal')} AND list_contains(a.flags, s.sflag))",
+    f"h3 AS ({_off('PFX', 'forms', 'form', 's.*, a.flag AS pflag, a.flags AS pflags, a.crossed, NULL::VARCHAR AS sflag, NULL::VARCHAR[] AS sflags, []::VARCHAR[][] AS outers, [2, length(a.affix), a.ord] AS ordinal')})",
+    f"h4 AS ({_off('SFX', '(SELECT * FROM h3 WHERE crossed)', 's.stem', 's.word, s.kind, s.variant, s.form, s.pflag, s.pflags, a.flag AS sflag, a.flags AS sflags, []::VARCHAR[][] AS outers, s.ordinal || [length(a.affix), a.ord] AS ordinal')} AND a.crossed)",
+    f"h5 AS ({_off('SFX', 'h4', 's.stem', 's.word, s.kind, s.variant, s.form, s.pflag, s.pflags, a.flag AS sflag, a.flags AS sflags, [s.sflags] AS outers, s.ordinal || [length(a.affix), a.ord] AS ordinal')} AND a.crossed AND list_contains(a.flags, s.sflag))",
+    "hyp AS (" + " UNION ALL ".join(
+        [f"SELECT word, kind, variant, form, {_NO_RULE.format('p')}, {_NO_RULE.format('s')}, []::VARCHAR[][] AS outers, [0] AS ordinal, form AS stem FROM forms"]
+        + [f"SELECT word, kind, variant, form, pflag, pflags, sflag, sflags, outers, ordinal, stem FROM h{k}" for k in range(1, 6)]
+    ) + ")",
+])
+_PLAIN_FORMS = "forms AS (SELECT word, 'NO' AS kind, 0 AS variant, word AS form FROM words)"
+
+
+def _lookup_sql(*roles: str, forms: str = _PLAIN_FORMS, base: str = _WORDS, nosuggest: bool = True) -> str:
+    every = "list_concat(d.flags, coalesce(pflags, []), coalesce(sflags, []))"
+    affixed = "list_concat(list_filter([pflags, sflags], lambda x: x IS NOT NULL), outers)"
+    ok = [f"(pflag IS NULL OR list_contains({every}, pflag))", f"(sflag IS NULL OR list_contains({every}, sflag))"]
+    if not nosuggest:
+        ok.append("NOT list_contains(d.flags, 'Q')")
+    if "KEEPCASE" in roles:
+        ok.append("(kind = 'NO' OR NOT list_contains(d.flags, 'K'))")
+    if "NEEDAFFIX" in roles:
+        ok.append(f"CASE WHEN len({affixed}) = 0 THEN NOT list_contains(d.flags, 'N') ELSE len(list_filter({affixed}, lambda x: NOT list_contains(x, 'N'))) > 0 END")
+    if "CIRCUMFIX" in roles:
+        ok.append("coalesce(list_contains(pflags, 'Z'), false) = coalesce(list_contains(sflags, 'Z'), false)")
+    if "ONLYINCOMPOUND" in roles:
+        ok.append(f"NOT list_contains({every}, 'O')")
+    cut, banned = "", ""
+    if "FORBIDDENWORD" in roles:
+        cut = ", cut AS (SELECT word, variant, min(ordinal) AS upto FROM hyp JOIN dict d USING (stem) WHERE list_contains(d.flags, 'X') AND len(ordinal) > 1 GROUP BY ALL)"
+        banned = " AND word NOT IN (SELECT stem FROM dict WHERE list_contains(flags, 'X'))"
+        ok.append("(upto IS NULL OR ordinal < upto)")
+    found = f"SELECT DISTINCT word FROM hyp JOIN dict d USING (stem) {'LEFT JOIN cut USING (word, variant)' if cut else ''} WHERE {' AND '.join(ok)}"
+    return f"WITH {base}, {forms}, {_HYP}{cut}, good AS ({found}) SELECT word, (word IN (SELECT word FROM good)){banned} AS correct FROM (SELECT DISTINCT word FROM words)"
+
+
+# Tokens and corpus reports
+
+
+@query(f"WITH {_COUNTS} SELECT lang, word, count(*) AS n FROM tok GROUP BY ALL")
+def tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), "lang").withColumnRenamed("count", "n")
+
+
+@query(f"WITH {_COUNTS} SELECT lang, count(DISTINCT word) AS words, count(*) AS tokens FROM tok GROUP BY lang")
+def distinct_tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), "lang").groupBy("lang").agg(F.count("*").alias("words"), F.sum("count").alias("tokens"))
+
+
+@query(f"WITH {_DICT} SELECT stem, c, array_to_string(flags, '') AS flags FROM dict")
+def derived_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stems(spark, sf_dir).withColumn("flags", F.array_join("flags", ""))
+
+
+@query(_lookup_sql().rsplit(" SELECT word, ", 1)[0] + " SELECT lang, count(*) AS tokens, count(*) FILTER (WHERE word IN (SELECT word FROM good)) AS good FROM tok GROUP BY lang")
+def error_rate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return error_rates(table(spark, sf_dir, "documents"), words(spark, sf_dir), affixes(spark), rules(), "lang")
+
+
+@query(_lookup_sql().rsplit(" SELECT word, ", 1)[0] + " SELECT word, count(*) AS n FROM tok WHERE word NOT IN (SELECT word FROM good) GROUP BY word ORDER BY n DESC, word LIMIT 100")
+def top_misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_misspellings(table(spark, sf_dir, "documents"), words(spark, sf_dir), affixes(spark), rules()).withColumnRenamed("count", "n")
+
+
+@query(_lookup_sql().rsplit(" SELECT word, ", 1)[0] + " SELECT quality, count(*) AS tokens, count(*) FILTER (WHERE word IN (SELECT word FROM good)) AS good FROM tok JOIN labels USING (doc_id) GROUP BY quality")
+def quality_vs_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return error_rates(docs, words(spark, sf_dir), affixes(spark), rules(), "quality")
+
+
+# Capitalisation
+
+_RAW = f"raw AS (SELECT DISTINCT unnest({_LETTERS.format('text')}) AS word FROM documents)"
+_UP = "replace(upper({0}), 'ẞ', 'SS')"
+_KIND = (
+    r"CASE WHEN regexp_matches(word, '\p{Ll}') AND NOT regexp_matches(word, '\p{Lu}') THEN 'NO' WHEN regexp_matches(word, '\p{Lu}') AND NOT regexp_matches(word, '\p{Ll}') THEN 'ALL' "
+    r"WHEN regexp_matches(word, '^\p{Lu}') AND NOT regexp_matches(substr(word, 2), '\p{Lu}') THEN 'INIT' WHEN regexp_matches(word, '^\p{Lu}') THEN 'HUHINIT' ELSE 'HUH' END"
+)
+_CAPITAL = f"{_UP.format('left(word, 1)')} || lower(substr(word, 2))"
+_CASED = f"WITH {_RAW}, cased AS (SELECT word, {_KIND} AS kind FROM raw)"
+
+
+@query(f"{_CASED} SELECT word, kind FROM cased")
+def casing_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_words(spark, sf_dir, lower=False).withColumn("kind", casing.kind(F.col("word")))
+
+
+@query(f"{_CASED} SELECT word, word || CASE kind WHEN 'INIT' THEN ' ' || lower(word) WHEN 'HUHINIT' THEN ' ' || lower(left(word, 1)) || substr(word, 2) WHEN 'ALL' THEN ' ' || lower(word) || ' ' || {_CAPITAL} ELSE '' END AS forms FROM cased")
+def casing_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_words(spark, sf_dir, lower=False).withColumn("forms", F.array_join(casing.variants(F.col("word")), " "))
+
+
+@query(f"{_CASED} SELECT word, word || CASE WHEN kind IN ('INIT', 'HUH') THEN ' ' || lower(word) WHEN kind = 'HUHINIT' THEN ' ' || lower(left(word, 1)) || substr(word, 2) || ' ' || lower(word) || ' ' || {_CAPITAL} WHEN kind = 'ALL' THEN ' ' || lower(word) || ' ' || {_CAPITAL} ELSE '' END AS forms FROM cased")
+def casing_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_words(spark, sf_dir, lower=False).withColumn("forms", F.array_join(casing.corrections(F.col("word")), " "))
+
+
+@query(f"{_CASED} SELECT word, CASE WHEN kind IN ('INIT', 'HUHINIT') THEN {_UP.format('left(reverse(word), 1)')} || substr(reverse(word), 2) WHEN kind = 'ALL' THEN {_UP.format('reverse(word)')} ELSE reverse(word) END AS coerced FROM cased")
+def casing_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_words(spark, sf_dir, lower=False).withColumn("coerced", casing.coerce(F.reverse("word"), casing.kind(F.col("word"))))
+
+
+@query(f"WITH {_RAW} SELECT word, lower(translate(word, 'İI', 'iı')) AS lowered, {_UP.format(chr(39).join(['translate(word, ', 'iı', ', ', 'İI', ')']))} AS uppered FROM raw")
+def turkic_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("word")
+    return distinct_words(spark, sf_dir, lower=False).select("word", F.element_at(casing.turkic_lower(w), 1).alias("lowered"), casing.turkic_upper(w).alias("uppered"))
+
+
+# Conversion, numbers, breaks
+
+
+@query(f"WITH {_COUNTS} SELECT DISTINCT word, translate(word, 'aeiouy', '') AS bare FROM tok")
+def ignore_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_words(spark, sf_dir).withColumn("bare", text.without(F.col("word"), "aeiouy"))
+
+
+@query(r"WITH piece AS (SELECT lang, unnest(string_split_regex(coalesce(text, ''), '[ \n\t\r]+')) AS word FROM documents) SELECT lang, count(*) AS pieces, count(*) FILTER (WHERE regexp_full_match(word, '[0-9]+(\.[0-9]+)?')) AS numbers FROM piece WHERE word <> '' GROUP BY lang")
+def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), r"[ \n\t\r]+")).alias("word")).where("word <> ''")
+    return pieces.groupBy("lang").agg(F.count("*").alias("pieces"), F.count(F.when(text.is_number(F.col("word")), 1)).alias("numbers"))
+
+
+@query(r"WITH url AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS word FROM pages) SELECT word, array_to_string(list_filter(string_split(word, '.'), lambda x: x <> ''), ' ') AS parts FROM url")
+def break_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("word")).distinct()
+    return hosts.withColumn("parts", F.array_join(text.broken(F.col("word"), "."), " "))
+
+
+@query(f"WITH {_COUNTS} SELECT DISTINCT word, replace(replace(replace(word, 'th', 'þ'), 'qu', 'kw'), 'x', 'ks') AS converted FROM tok")
+def iconv_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Dictionary.from_bytes("SET UTF-8\nICONV 3\nICONV th þ\nICONV qu kw\nICONV x ks\n".encode(), b"0\n")
+    return converted(distinct_words(spark, sf_dir), own)
+
+
+# Affixes
+
+
+@query(f"WITH {_WORDS}, {_PLAIN_FORMS}, {_HYP} SELECT word, stem, sflag AS flag FROM h1")
+def desuffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripped(distinct_words(spark, sf_dir), affixes(spark), "SFX").select("word", "stem", F.col("rule.flag").alias("flag"))
+
+
+@query(f"WITH {_WORDS}, {_PLAIN_FORMS}, {_HYP} SELECT word, stem, pflag AS flag FROM h3")
+def deprefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripped(distinct_words(spark, sf_dir), affixes(spark), "PFX").select("word", "stem", F.col("rule.flag").alias("flag"))
+
+
+@query(f"WITH {_WORDS}, {_PLAIN_FORMS}, {_HYP} SELECT word, stem, pflag AS prefix, sflag AS suffix, array_to_string(ordinal, ' ') AS ordinal FROM hyp")
+def affix_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hypotheses(distinct_words(spark, sf_dir), affixes(spark))
+    return found.select("word", "stem", F.col("prefix.flag").alias("prefix"), F.col("suffix.flag").alias("suffix"), F.array_join(F.transform("ordinal", lambda x: x.cast("string")), " ").alias("ordinal"))
+
+
+@query(f"WITH {_WORDS}, {_PLAIN_FORMS}, {_HYP} SELECT word, stem, pflag AS prefix, sflag AS suffix FROM hyp WHERE pflag IS NOT NULL AND sflag IS NOT NULL")
+def affix_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hypotheses(distinct_words(spark, sf_dir), affixes(spark)).where("prefix is not null and suffix is not null")
+    return found.select("word", "stem", F.col("prefix.flag").alias("prefix"), F.col("suffix.flag").alias("suffix"))
+
+
+@query(f"WITH {_WORDS}, {_PLAIN_FORMS}, {_HYP} SELECT word, stem, sflag AS suffix FROM h2")
+def two_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hypotheses(distinct_words(spark, sf_dir), affixes(spark)).where("prefix is null and size(outer) = 1")
+    return found.select("word", "stem", F.col("suffix.flag").alias("suffix"))
+
+
+# Lookup
+
+
+def _checked(spark: SparkSession, sf_dir: str, *roles: str, lower: bool = True) -> DataFrame:
+    return checked(distinct_words(spark, sf_dir, lower=lower), words(spark, sf_dir), affixes(spark), rules(*roles))
+
+
+@query(f"WITH {_WORDS} SELECT word, stem IS NOT NULL AS correct FROM words LEFT JOIN dict ON word = stem")
+def lookup_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = words(spark, sf_dir).select(F.col("stem").alias("word"), F.lit(True).alias("correct"))
+    return distinct_words(spark, sf_dir).join(known, "word", "left").withColumn("correct", F.coalesce("correct", F.lit(False)))
+
+
+@query(f"WITH {_DICT} SELECT upper(left(word, 1)) AS word, count(*) AS entries FROM (SELECT DISTINCT left(word, 1) AS word FROM tok) JOIN dict ON contains(stem, word) GROUP BY 1 ")
+def homonyms_ignorecase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by lower-cased key; those in lower case are filed under each of their letters."""
+    initials = distinct_words(spark, sf_dir).select(F.left("word", F.lit(1)).alias("word")).distinct()
+    found = homonyms(initials, words(spark, sf_dir), ignore_case=True)
+    return found.groupBy(F.upper("word").alias("word")).agg(F.count("*").alias("entries"))
+
+
+@query(_lookup_sql())
+def lookup_affix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)
+
+
+@query(_lookup_sql("NEEDAFFIX"))
+def lookup_needaffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, "NEEDAFFIX")
+
+
+@query(_lookup_sql("FORBIDDENWORD"))
+def lookup_forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, "FORBIDDENWORD")
+
+
+@query(_lookup_sql("CIRCUMFIX"))
+def lookup_circumfix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, "CIRCUMFIX")
+
+
+@query(_lookup_sql("ONLYINCOMPOUND"))
+def lookup_onlyincompound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, "ONLYINCOMPOUND")
+
+
+@query(_lookup_sql("NOSUGGEST", nosuggest=False))
+def lookup_nosuggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be suggested: words with a reading that isn't marked NOSUGGEST."""
+    return checked(distinct_words(spark, sf_dir), words(spark, sf_dir), affixes(spark), rules("NOSUGGEST"), recase=False, nosuggest=False)
+
+
+_CASE_FORMS = (
+    f"cased AS (SELECT word, {_KIND} AS kind FROM raw), forms AS (SELECT word, kind, 0 AS variant, word AS form FROM cased UNION ALL SELECT word, kind, 1, lower(word) FROM cased WHERE kind IN ('INIT', 'ALL') "
+    f"UNION ALL SELECT word, kind, 1, lower(left(word, 1)) || substr(word, 2) FROM cased WHERE kind = 'HUHINIT' UNION ALL SELECT word, kind, 2, {_CAPITAL} FROM cased WHERE kind = 'ALL')"
+)
+# A word in capitals also matches entries by each letter of theirs: one-letter stems that any entry's letters hold.
+_LETTER_STEMS = "letter AS (SELECT DISTINCT unnest(string_split(stem, '')) AS stem, flags FROM dict)"
+
+
+@query(
+    f"WITH {_DICT}, {_RAW}, words AS (SELECT word FROM raw), {_CASE_FORMS}, {_HYP}, {_LETTER_STEMS}, "
+    "cases AS (SELECT h.*, d.flags FROM hyp h JOIN dict d USING (stem) UNION ALL SELECT h.*, l.flags FROM hyp h JOIN letter l USING (stem) WHERE h.kind = 'ALL' AND h.variant = 1), "
+    "good AS (SELECT DISTINCT word FROM cases WHERE (pflag IS NULL OR list_contains(list_concat(flags, coalesce(pflags, []), coalesce(sflags, [])), pflag)) "
+    "AND (sflag IS NULL OR list_contains(list_concat(flags, coalesce(pflags, []), coalesce(sflags, [])), sflag)) AND (kind = 'NO' OR NOT list_contains(flags, 'K'))) "
+    "SELECT word, word IN (SELECT word FROM good) AS correct FROM raw"
+)
+def lookup_keepcase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, "KEEPCASE", lower=False)
+
+
+@query(f"WITH {_WORDS} SELECT word, coalesce(list_contains(flags, 'Y'), false) AS has_flag FROM words LEFT JOIN dict ON word = stem")
+def has_flag_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return has_flag(distinct_words(spark, sf_dir), words(spark, sf_dir), "Y")
+
+
+@query(f"WITH {_DICT}, heads AS (SELECT left(stem, 3) AS word, bool_and(list_contains(flags, 'D')) AS h FROM dict GROUP BY 1), asked AS (SELECT DISTINCT left(word, 3) AS word FROM tok) SELECT word, coalesce(h, false) AS has_flag FROM asked LEFT JOIN heads USING (word)")
+def has_flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of words against entries that share them: homonyms in plenty."""
+    heads = words(spark, sf_dir).withColumn("stem", F.left("stem", F.lit(3)))
+    asked = distinct_words(spark, sf_dir).select(F.left("word", F.lit(3)).alias("word")).distinct()
+    return has_flag(asked, heads, "D", for_all=True)
+
+
+@query()
+def lookup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything at once, by the kernel: breaks, compounds and all flags, over the words of pages."""
+    own = dictionary(spark, sf_dir, *ROLES)
+    pieces = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"([\p{L}-]+)"), 1)).alias("word")).distinct()
+    return spelled(pieces, own)
+
+
+@query()
+def forms_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of the distinct words of the benchmark."""
+    found = analysed(distinct_words(spark, sf_dir, "benchmark"), dictionary(spark, sf_dir, *ROLES))
+    return found.select("word", "reading", F.array_join("stems", " ").alias("stems"), F.array_join("affixes", " ").alias("affixes"))
+
+
+# Compounds
+
+
+def _compound_sql(most: int, dup: bool = True, triple: bool = True) -> str:
+    joint = "" if triple else " AND NOT (right(parts[-1], 2) = repeat(left(p.stem, 1), 2) OR (length(p.stem) > 1 AND left(p.stem, 2) = repeat(right(parts[-1], 1), 2)))"
+    end = joint.replace("p.stem", "rest") + ("" if dup else " AND parts[-1] <> rest")
+    return (
+        f"WITH RECURSIVE {_WORDS}, part AS (SELECT stem FROM dict WHERE list_contains(flags, 'C') AND length(stem) >= 3), "
+        "state AS (SELECT word, word AS rest, []::VARCHAR[] AS parts FROM words WHERE length(word) >= 6 UNION ALL "
+        "SELECT s.word, substr(s.rest, k + 1), list_append(s.parts, p.stem) FROM (SELECT word, rest, parts, unnest(range(3, length(rest) - 2)) AS k FROM state) s JOIN part p ON left(s.rest, k) = p.stem "
+        f"WHERE len(s.parts) < {most - 1}{' AND (len(s.parts) = 0 OR (true' + joint.replace('parts', 's.parts') + '))' if joint else ''}) "
+        f"SELECT word, array_to_string(list_append(parts, rest), ' ') AS parts FROM state WHERE len(parts) > 0 AND rest IN (SELECT stem FROM part){end}"
+    )
+
+
+def _compounds(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    found = compounds(distinct_words(spark, sf_dir), words(spark, sf_dir), flag="C", **how)
+    return found.withColumn("parts", F.array_join("parts", " "))
+
+
+@query(_compound_sql(2))
+def compound_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compounds(spark, sf_dir, most=2)
+
+
+@query(_compound_sql(4))
+def compound_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compounds(spark, sf_dir, most=4)
+
+
+@query(_compound_sql(3, dup=False))
+def compound_bad_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compounds(spark, sf_dir, most=3, double=False)
+
+
+@query(_compound_sql(3, triple=False))
+def compound_bad_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compounds(spark, sf_dir, most=3, triple=False)
+
+
+#: Ordinal numbers as compounds of digits.
+ORDINALS_AFF = "COMPOUNDMIN 1\nONLYINCOMPOUND c\nCOMPOUNDRULE 2\nCOMPOUNDRULE n*1t\nCOMPOUNDRULE n*mp\n"
+ORDINALS_DIC = "\n".join(["23", "1/n1", "1st/p", "1th/tc", "2nd/p", "2th/tc", "3rd/p", "3th/tc", *(f"{d}/nm" for d in "023456789"), *(f"{d}th/pt" for d in "0456789")])
+
+
+@query(r"WITH n AS (SELECT DISTINCT o_orderkey % 10000 AS k FROM orders), e(ending) AS (VALUES ('st'), ('nd'), ('rd'), ('th'), ('')), w AS (SELECT k || ending AS word FROM n, e) SELECT word, regexp_full_match(word, '[0-9]+|[0-9]*1[0-9]th|([0-9]*[02-9])?(1st|2nd|3rd|[04-9]th)') AS correct FROM w")
+def compound_rule_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order numbers with every ending of an ordinal."""
+    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10000).cast("string").alias("k")).distinct()
+    asked = keys.select(F.explode(F.array(*(F.concat("k", F.lit(e)) for e in ("st", "nd", "rd", "th", "")))).alias("word"))
+    return spelled(asked, Dictionary.from_bytes(ORDINALS_AFF.encode(), ORDINALS_DIC.encode()))
+
+
+# Candidates of every distinct word: how many, and a digest of them all in order
+
+_TRY, _KEY = "esianrt", rules()["KEY"]
+_REP = [("f", "ph"), ("ou", "u"), ("tion", "shun")]
+_C = "substr(w, i + 1, 1)"
+
+
+def _key_map() -> str:
+    near = {k: [x for x in (_KEY[i - 1 : i] if i else "", _KEY[i + 1 : i + 2]) if x not in ("", "|")] for i, k in enumerate(_KEY) if k != "|"}
+    return "map {" + ", ".join(f"'{k}': [{', '.join(map(_quoted, v))}]" for k, v in near.items()) + "}"
+
+
+def _rep_sql(old: str, new: str) -> str:
+    n = len(old)
+    return f"[left(w, i) || '{new}' || substr(w, i + {n + 1}) for i in range(0, length(w) - {n - 1}) if substr(w, i + 1, {n}) = '{old}']"
+
+
+_TRIED = "[" + ", ".join(map(_quoted, _TRY)) + "]"
+_EDIT_SQL = {
+    "edit_swap": "list_concat([left(w, i) || substr(w, i + 2, 1) || substr(w, i + 1, 1) || substr(w, i + 3) for i in range(0, length(w) - 1)], CASE WHEN length(w) = 4 THEN [w[2] || w[1] || w[4] || w[3]] WHEN length(w) = 5 THEN [w[2] || w[1] || w[3] || w[5] || w[4], w[1] || w[3] || w[2] || w[5] || w[4]] ELSE []::VARCHAR[] END)",
+    "edit_longswap": "flatten([[left(w, i) || substr(w, j + 1, 1) || substr(w, i + 2, j - i - 1) || substr(w, i + 1, 1) || substr(w, j + 2) for j in [i + 2, i + 3] if j < length(w)] for i in range(0, length(w) - 2)])",
+    "edit_key": f"flatten([[left(w, i) || x || substr(w, i + 2) for x in list_concat(CASE WHEN {_UP.format(_C)} <> {_C} THEN [{_UP.format(_C)}] ELSE []::VARCHAR[] END, coalesce({_key_map()}[{_C}], []::VARCHAR[]))] for i in range(0, length(w))])",
+    "edit_extra": "CASE WHEN length(w) > 1 THEN [left(w, i) || substr(w, i + 2) for i in range(0, length(w))] ELSE []::VARCHAR[] END",
+    "edit_forgot": f"flatten([[left(w, i) || c || substr(w, i + 1) for i in range(0, length(w) + 1)] for c in {_TRIED}])",
+    "edit_move": "list_concat(flatten([[left(w, i) || substr(w, i + 2, j - i - 1) || substr(w, i + 1, 1) || substr(w, j + 1) for j in [i + 3, i + 4] if j < length(w)] for i in range(0, length(w))]), flatten([[left(w, j) || substr(w, i + 1, 1) || substr(w, j + 1, i - j) || substr(w, i + 2) for j in [i - 2, i - 3] if j >= 0] for i in range(length(w) - 1, -1, -1)]))",
+    "edit_bad": f"flatten([[left(w, i) || c || substr(w, i + 2) for i in range(length(w) - 1, -1, -1) if substr(w, i + 1, 1) <> c] for c in {_TRIED}])",
+    "edit_double": "CASE WHEN length(w) >= 5 THEN [left(w, i - 1) || substr(w, i + 2) for i in range(2, length(w)) if substr(w, i - 1, 1) = substr(w, i + 1, 1) AND CASE WHEN i = 2 THEN right(w, 1) ELSE substr(w, i - 2, 1) END = substr(w, i, 1)] ELSE []::VARCHAR[] END",
+    "edit_two": "[left(w, i) || ' ' || substr(w, i + 1) for i in range(1, length(w))]",
+    "edit_rep": f"CASE WHEN length(w) > 1 THEN list_concat({', '.join(_rep_sql(*p) for p in _REP)}) ELSE []::VARCHAR[] END",
+}
+_EDITS: dict[str, Callable[[Column], Column]] = {
+    "edit_swap": edits.swap_neighbours,
+    "edit_longswap": edits.swap_distant,
+    "edit_key": lambda w: edits.neighbour_keys(w, _KEY),
+    "edit_extra": edits.dropped,
+    "edit_forgot": lambda w: edits.inserted(w, _TRY),
+    "edit_move": edits.moved,
+    "edit_bad": lambda w: edits.exchanged(w, _TRY),
+    "edit_double": edits.undoubled,
+    "edit_two": edits.splits,
+    "edit_rep": lambda w: edits.replaced(w, _REP),
+}
+
+
+def _edit_query(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = distinct_words(spark, sf_dir).withColumn("c", _EDITS[name](F.col("word")))
+        return found.select("word", F.size("c").cast("bigint").alias("n"), F.md5(F.array_join("c", ",")).alias("digest"))
+
+    run.__name__ = name
+    query(f"WITH {_COUNTS}, words AS (SELECT DISTINCT word AS w FROM tok), c AS (SELECT w, {_EDIT_SQL[name]} AS c FROM words) SELECT w AS word, len(c) AS n, md5(coalesce(array_to_string(c, ','), '')) AS digest FROM c")(run)
+
+
+for _name in _EDITS:
+    _edit_query(_name)
+
+_MAP = ["aàâ", "eéèê"]
+_MAP_SQL = ", ".join(f"CASE WHEN contains(w, '{one}') THEN [left(w, instr(w, '{one}') - 1) || x || substr(w, instr(w, '{one}') + 1) for x in [{', '.join(_quoted(o) for o in options if o != one)}]] ELSE []::VARCHAR[] END" for options in _MAP for one in options)
+
+
+@query(f"WITH {_COUNTS}, words AS (SELECT DISTINCT word AS w FROM tok), c AS (SELECT w, CASE WHEN length(w) > 1 THEN list_sort(list_distinct(list_concat({_MAP_SQL}))) ELSE [] END AS c FROM words) SELECT w AS word, len(c) AS n, md5(coalesce(array_to_string(c, ','), '')) AS digest FROM c")
+def edit_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distinct_words(spark, sf_dir).withColumn("c", F.array_sort(edits.mapped(F.col("word"), [list(x) for x in _MAP])))
+    return found.select("word", F.size("c").cast("bigint").alias("n"), F.md5(F.array_join("c", ",")).alias("digest"))
+
+
+# Likeness
+
+_PAIRS = "pairs AS (SELECT DISTINCT lower(p_name) AS a, lower(p_type) || ' ' || lower(p_brand) AS b FROM part)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.lower("p_name").alias("a"), F.concat_ws(" ", F.lower("p_type"), F.lower("p_brand")).alias("b")).distinct()
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, len([i for i in range(1, least(length(a), length(b)) + 1) if a[i] = b[i]]) AS score FROM pairs")
+def metric_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("score", metrics.same_places(F.col("a"), F.col("b")).cast("bigint"))
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, list_max([i for i in range(0, least(length(a), length(b)) + 1) if left(a, i) = left(b, i)]) AS score FROM pairs")
+def metric_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("score", metrics.prefix_length(F.col("a"), F.col("b")).cast("bigint"))
+
+
+def _grams_sql(a: str, b: str, most: int) -> str:
+    """Shared stretches of 1 to most letters, with the stop below two; penalties aside."""
+    hits = [f"len([i for i in range(1, length({a}) - {n - 2}) if contains({b}, substr({a}, i, {n}))])" for n in range(1, most + 1)]
+    total, guard = hits[0], ""
+    for before, own in zip(hits, hits[1:]):
+        guard += f"{' AND ' if guard else ''}{before} >= 2"
+        total += f" + CASE WHEN {guard} THEN {own} ELSE 0 END"
+    return total
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, {_grams_sql('a', 'b', 3)} - greatest(length(b) - length(a) - 2, 0) AS score FROM pairs")
+def metric_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("score", metrics.shared_grams(3, F.col("a"), F.col("b"), longer=True).cast("bigint"))
+
+
+@query(
+    f"WITH RECURSIVE {_PAIRS}, rows AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0::BIGINT) AS r FROM pairs UNION ALL "
+    "SELECT a, b, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda acc, x: list_append(acc, CASE WHEN b[x[1]] = a[i + 1] THEN r[x[1]] + 1 ELSE greatest(r[x[1] + 1], acc[-1]) END)) FROM rows WHERE i < length(a)) "
+    "SELECT a, b, r[-1] AS score FROM rows WHERE i = length(a)"
+)
+def metric_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("score", metrics.subsequence_length(F.col("a"), F.col("b")).cast("bigint"))
+
+
+_WRONG = f"{_WORDS}, asked AS (SELECT DISTINCT word FROM (SELECT unnest({_LETTERS.format('lower(text)')}) AS word FROM benchmark) WHERE word NOT IN (SELECT stem FROM dict))"
+
+
+def _wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words of the benchmark that are no stems."""
+    return distinct_words(spark, sf_dir, "benchmark").join(words(spark, sf_dir).select(F.col("stem").alias("word")), "word", "left_anti")
+
+
+_ROOT = f"{_grams_sql('word', 'stem', 3)} - greatest(length(stem) - length(word) - 2, 0) + list_max([i for i in range(0, least(length(word), length(stem)) + 1) if left(word, i) = left(stem, i)])"
+
+
+@query(f"WITH {_WRONG}, scored AS (SELECT word, stem, {_ROOT} AS score FROM asked JOIN dict ON abs(length(word) - length(stem)) <= 4) SELECT word, stem, score, row_number() OVER (PARTITION BY word ORDER BY score DESC, stem DESC) AS rank FROM scored QUALIFY rank <= 10")
+def ngram_roots_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_roots(_wrong(spark, sf_dir), dictionary(spark, sf_dir), k=10)
+
+
+@query()
+def ngram_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wrong(spark, sf_dir).withColumn("threshold", metrics.threshold(F.col("word")))
+
+
+@query()
+def ngram_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest stems of each wrong word, scored in full."""
+    w, s = F.col("word"), F.col("stem")
+    rough = nearest_roots(_wrong(spark, sf_dir), dictionary(spark, sf_dir), k=10).select("word", "stem", metrics.rough_score(w, s).alias("rough"))
+    return rough.select("word", "stem", "rough", metrics.precise_score(w, s, F.col("rough")).alias("score"))
+
+
+# Corrections
+
+
+@query()
+def suggest_edits_firstwins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slips(_wrong(spark, sf_dir), words(spark, sf_dir), affixes(spark), rules("NOSUGGEST"))
+
+
+@query(f"WITH {_WRONG}, cut AS (SELECT word, unnest(range(1, length(word))) AS k FROM asked) SELECT word, left(word, k) || ' ' || substr(word, k + 1) AS suggestion FROM cut WHERE left(word, k) IN (SELECT stem FROM dict) AND substr(word, k + 1) IN (SELECT stem FROM dict)")
+def suggest_twowords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits into two stems."""
+    known = words(spark, sf_dir).select("stem")
+    cut = _wrong(spark, sf_dir).withColumn("suggestion", F.explode(edits.splits(F.col("word"))))
+    left, right = F.substring_index("suggestion", " ", 1), F.substring_index("suggestion", " ", -1)
+    return cut.join(known.withColumnRenamed("stem", "a"), left == F.col("a"), "left_semi").join(known.withColumnRenamed("stem", "b"), right == F.col("b"), "left_semi")
+
+
+@query()
+def suggest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggestions(_wrong(spark, sf_dir), dictionary(spark, sf_dir, *ROLES))
+
+
+#: A few rules from spelling to sound.
+PHONE_AFF = "SET UTF-8\nPHONE 9\nPHONE AH(AEIOUY)-^ *H\nPHONE TH 0\nPHONE SH X\nPHONE CH X\nPHONE E$ _\nPHONE E *\nPHONE N N\nPHONE R R\nPHONE T T\n"
+
+
+@query()
+def metaphone_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phonetic_codes(words(spark, sf_dir).select(F.col("stem").alias("word")), Dictionary.from_bytes(PHONE_AFF.encode(), b"0\n"))
+
+
+# Expansion
+
+
+def _with(kind: str, source: str, base: str, flags: str, held: str, also: str) -> str:
+    made = f"left({base}, length({base}) - length(a.strip)) || a.affix" if kind == "SFX" else f"a.affix || substr({base}, length(a.strip) + 1)"
+    fits = "'(?:' || a.condition || ')$'" if kind == "SFX" else "'^(?:' || a.condition || ')'"
+    return f"SELECT {also}, {made} AS form FROM {source} s JOIN affixes a ON a.kind = '{kind}' AND list_contains({flags}, a.flag) WHERE regexp_matches({held}, {fits})"
+
+
+@query(
+    f"WITH {_DICT}, {_affix_rows()}, e AS (SELECT stem, flags FROM dict WHERE NOT list_contains(flags, 'X')), "
+    f"s1 AS ({_with('SFX', 'e', 's.stem', 's.flags', 's.stem', 's.stem, a.flags AS af')}), s2 AS ({_with('SFX', 's1', 's.form', 's.af', 's.form', 's.stem')}), "
+    f"p1 AS ({_with('PFX', 'e', 's.stem', 's.flags', 's.stem', 's.stem, s.flags, a.flags AS af, a.crossed')}), "
+    f"p2 AS ({_with('SFX', '(SELECT * FROM p1 WHERE crossed)', 's.form', 's.flags', 's.stem', 's.stem, a.flags AS af')} UNION ALL {_with('SFX', '(SELECT * FROM p1 WHERE crossed)', 's.form', 's.af', 's.form', 's.stem, a.flags AS af')} AND a.crossed), "
+    f"p3 AS ({_with('SFX', 'p2', 's.form', 's.af', 's.form', 's.stem')} AND a.crossed), "
+    "forms AS (SELECT stem, stem AS form FROM e WHERE NOT list_contains(flags, 'N') UNION SELECT stem, form FROM s1 WHERE NOT list_contains(af, 'N') UNION SELECT stem, form FROM s2 UNION SELECT stem, form FROM p1 WHERE NOT list_contains(af, 'N') UNION SELECT stem, form FROM p2 UNION SELECT stem, form FROM p3) "
+    "SELECT DISTINCT form FROM forms"
+)
+def unmunch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expanded(words(spark, sf_dir), affixes(spark), rules("FORBIDDENWORD", "NEEDAFFIX")).select("form").distinct()
+
+

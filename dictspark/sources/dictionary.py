@@ -9,6 +9,7 @@ import os
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from dictspark.kernel.correct import Corrector
@@ -27,9 +28,10 @@ SYSTEM_FOLDERS = [
     "/opt/openoffice.org2.0/share/dict/ooo", "/usr/lib/openoffice.org2.0/share/dict/ooo",
 ]
 
-WORDS_SCHEMA = "line_no int, stem string, flags array<string>, data map<string,array<string>>, alt_spellings array<string>, captype string"
-AFFIXES_SCHEMA = "kind string, ord int, flag string, crossproduct boolean, strip string, add string, condition string, flags array<string>"
-REP_SCHEMA = "ord int, pattern string, replacement string"
+_TEXTS = pa.list_(pa.string())
+WORDS = pa.schema([("line_no", pa.int64()), ("stem", pa.string()), ("flags", _TEXTS), ("data", pa.map_(pa.string(), _TEXTS)), ("alt_spellings", _TEXTS), ("captype", pa.string())])
+AFFIXES = pa.schema([("kind", pa.string()), ("ord", pa.int32()), ("flag", pa.string()), ("crossproduct", pa.bool_()), ("strip", pa.string()), ("add", pa.string()), ("condition", pa.string()), ("flags", _TEXTS)])
+REP = pa.schema([("ord", pa.int32()), ("pattern", pa.string()), ("replacement", pa.string())])
 
 
 def _read(path: str, spark: SparkSession | None) -> bytes:
@@ -98,22 +100,27 @@ class Dictionary:
     def suggest(self, word: str) -> Iterator[str]:
         return (text for _, text in self.corrector.suggestions(word))
 
-    # Tables
+    # Tables, as local relations: Spark knows their size
 
     def words(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(e.line, clean(e.stem), sorted(map(clean, e.flags)), {clean(k): [clean(x) for x in v] for k, v in e.data.items()}, [clean(x) for x in e.spellings], e.kind) for e in self.entries], WORDS_SCHEMA)
+        rows = [(e.line, clean(e.stem), sorted(map(clean, e.flags)), [(clean(k), [clean(x) for x in v]) for k, v in e.data.items()], [clean(x) for x in e.spellings], e.kind) for e in self.entries]
+        return spark.createDataFrame(_arrow(rows, WORDS))
 
     def affixes(self, spark: SparkSession) -> DataFrame:
-        rows: list[Affix] = [x for kind in ("PFX", "SFX") for x in self.rules.all_affixes(kind)]
-        return spark.createDataFrame([(x.kind, x.order, clean(x.flag), x.cross, clean(x.strip), clean(x.add), clean(x.condition), sorted(map(clean, x.flags))) for x in rows], AFFIXES_SCHEMA)
+        rules: list[Affix] = [x for kind in ("PFX", "SFX") for x in self.rules.all_affixes(kind)]
+        return spark.createDataFrame(_arrow([(x.kind, x.order, clean(x.flag), x.cross, clean(x.strip), clean(x.add), clean(x.condition), sorted(map(clean, x.flags))) for x in rules], AFFIXES))
 
     def rep(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(k, clean(p.pattern), clean(r)) for k, (p, r) in enumerate(self.rules.rep)], REP_SCHEMA)
+        return spark.createDataFrame(_arrow([(k, clean(p.pattern), clean(r)) for k, (p, r) in enumerate(self.rules.rep)], REP))
 
     def settings(self, spark: SparkSession) -> DataFrame:
         """One row: every scalar setting as text, null where unset."""
         row = {k: None if v is None else str(v).lower() if isinstance(v, bool) else clean(str(v)) for k, v in self.rules.settings.items()}
-        return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row))
+        return spark.createDataFrame(_arrow([tuple(row.values())], pa.schema([(k, pa.string()) for k in row])))
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], field.type) for k, field in enumerate(schema)], schema=schema)
 
 
 def clean(text: str) -> str:
