@@ -39,10 +39,12 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hashed = docs.select("doc_id", "version", line_hashes(F.col("text")).alias("hashes"))
     windows = materialize(fingerprints(hashed, window), "windows")
     elected = windows.select("print", "doc_id", "version", "place").distinct()
-    often = elected.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # Both tables that windows are joined with are stored, so that each join has nothing else in its stage and the rows of
+    # a hot fingerprint or window can be split over tasks.
+    often = materialize(elected.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "often")
     some = windows.join(often, "print").select("gram", "doc_id", "version", "at")
     where = F.struct("doc_id", "version", "at")
-    first = some.groupBy("gram").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").select("gram", "first")
+    first = materialize(some.groupBy("gram").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").select("gram", "first"), "first")
     later = some.join(first, "gram").where(where > F.col("first"))
     covered = F.flatten(F.transform(F.collect_set("at"), lambda p: F.sequence(p, p + (window - 1))))
     return later.groupBy("doc_id", "version").agg(F.array_sort(F.array_distinct(covered)).alias("lines"))
