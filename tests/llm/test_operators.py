@@ -1,0 +1,412 @@
+"""Operators against brute force, exact round trips or held-out accuracy; nulls, empty and odd rows for each."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from dictspark.llm import chat, components, decontaminate, jpeg, langid, licenses, linededup, minhash, mixing, quality, queries, tokenbin
+from dictspark.llm.common import fold, table
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LONG = "word after word of one long text. " * 4000
+
+
+def docs_of(spark, *texts, **more):
+    return spark.createDataFrame([(k, t, "en", f"s{k % 2}", len(t or "")) for k, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, a very long one, repeated rows, null ids, a null source, columns with clashing names."""
+    rows = [(1, None, "en", "a", 0), (2, "", None, "a", 0), (3, "  \n\t ", "en", None, 5), (4, LONG, "en", "a", 1), (5, "same text here", "en", "b", 1), (5, "same text here", "en", "b", 1), (None, "no id at all", "fr", "b", 1), (7, "1234 !!", "xx", "b", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("id", "comp", "n", "key", "block", "tokens", "weight", "rank", "score", "leader", "shard", "__x"):
+        df = df.withColumn(name, F.lit("extra"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+# 1: token files
+
+
+@pytest.mark.parametrize("width", [1, 5, 8, 13, 16, 17, 32])
+def test_packing(width):
+    ids = np.random.default_rng(width).integers(0, 2**width, 10_001, dtype=np.uint64).astype(np.uint32)
+    assert (tokenbin.unpack(tokenbin.pack(ids, width), len(ids), width) == ids).all()
+    file = tokenbin.TokenFile(tokenbin.build_file([7, 8, 9], [ids[:4000], ids[:0], ids], width, 5))
+    assert (file.document(0) == ids[:4000]).all() and len(file.document(1)) == 0 and (file.document(2) == ids).all()
+    assert (file.read_ids(4090, 9000) == np.concatenate([ids[:4000], ids])[4090:9000]).all() and file.before == 5
+
+
+def test_tokens_by_library(spark):
+    from tokenizers import Tokenizer
+
+    model, start = Tokenizer.from_file(tokenbin.vocabulary()), 0
+    got = {r["doc_id"]: r for r in queries.QUERIES["op1_token_id_output"](spark, SF).collect()}
+    for r in table(spark, SF, "documents").orderBy("doc_id").collect():
+        ids = [*model.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        x = got[r["doc_id"]]
+        assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_tokens_of_odd_texts(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenbin.vocabulary())
+    coder = tokenbin.encoder(tokenbin.vocabulary())
+    for text in ("", "a", "İı ŉ ǅ", "naïve café.", "x́y", "<|x|> </s> [UNK]", "don't...!!", "日本語 mixed", "a\x00b", "   ", "ß ſ", "ABC,def;;g", "😀 ok"):
+        assert np.frombuffer(coder.encode(text), coder.dtype).tolist() == model.encode(text, add_special_tokens=False).ids, text
+    rows = tokenbin.token_output(odd, tokenbin.vocabulary()).collect()
+    assert len(rows) == odd.count() and rows[0]["start"] >= 0 and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
+    assert tokenbin.token_output(none, tokenbin.vocabulary()).count() == 0
+
+
+# 2: decontamination
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_passages_are_found(spark):
+    docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    base = docs.where("lang = 'en' and n_chars > 500").orderBy("doc_id").limit(12).collect()
+    planted = []
+    for k, (r, (item, text)) in enumerate(zip(base, sorted(items.items()))):
+        words = text.split()
+        if k % 3 == 1:  # a paraphrase: every tenth word another
+            words = [("zzqx" if i % 10 == 9 else w) for i, w in enumerate(words)]
+        if k % 3 == 2:
+            words = [w.upper() for w in words]
+        planted.append((10_000 + k, r["text"][:700] + " " + " ".join(words) + " " + r["text"][700:], "en", "p", 0))
+    extra = spark.createDataFrame(planted, DOCS)
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs.select(*extra.columns).unionByName(extra), bench).collect()}
+    assert {(10_000 + k, item) for k, item in zip(range(len(base)), sorted(items))} <= found
+    # What is reported has the words in order; documents that aren't reported hold no passage as it is.
+    texts = {r["doc_id"]: re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", (r["text"] or "").lower()) for r in docs.collect()}
+    plain = {k: re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", t.lower()).split() for k, t in items.items()}
+    for doc, item in found:
+        if doc < 10_000:
+            assert _lcs(plain[item], texts[doc].split()) >= 0.6 * len(plain[item])
+    whole = {(d, k) for d, t in texts.items() for k, w in plain.items() if " ".join(w) in t}
+    assert whole <= found
+
+
+def test_odd_benchmarks(spark, odd, none):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "same text here"), (None, "same text here as well"), (4, "a b c d e f g h")], "item_id bigint, text string")
+    assert {r["item_id"] for r in decontaminate.contaminated(odd, bench).collect()} <= {3, None}
+    assert decontaminate.contaminated(none, bench).count() == 0
+    assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
+    assert decontaminate.keep_clean(odd, bench).columns == odd.columns
+
+
+def test_common_subsequences():
+    random = np.random.default_rng(1)
+    for _ in range(50):
+        item, span = random.integers(0, 6, random.integers(1, 64)), random.integers(0, 6, 80)
+        bits = np.array([[sum(1 << k for k, x in enumerate(item.tolist()) if x == y) for y in span.tolist()]], np.uint64)
+        assert decontaminate.common_subsequences(bits, np.array([len(item)]))[0] == _lcs(item.tolist(), span.tolist())
+
+
+# 3: licences
+
+
+def test_license_texts(spark):
+    name, text = licenses.LICENSES[0]
+    variants = ["Copyright (c) 2020 A. Person\n" + text, text.upper().replace(" ", "\n"), text.replace("License", "Licence"), "All rights reserved.\n" + text + "!!"]
+    got = licenses.scan(docs_of(spark, *variants, text + " more", None, "", "!!!")).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == [name] * 4 + [None] * 4
+    assert len({r["digest"] for r in got[5:]}) == 1
+
+
+def test_license_forms_agree(spark, odd):
+    rows = odd.select("text", licenses.canonical_column(F.col("text")).alias("c")).collect()
+    assert all(r["c"] == licenses.canonical(r["text"]) for r in rows) and licenses.scan(odd).count() == odd.count()
+
+
+# 4: languages
+
+
+def test_languages_held_out(spark):
+    got = langid.identify(table(spark, "/root/testdata/sf0.01", "documents"))
+    truth = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang", "text")
+    rows = got.join(truth, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
+
+
+def test_odd_languages(spark, odd, none):
+    got = langid.identify(odd).collect()
+    assert len(got) == odd.count() and {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)} == {"und"}
+    assert all(0 <= r["score"] <= 1 for r in got) and langid.identify(none).count() == 0
+    nothing = langid.fit(none)
+    assert {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
+    assert langid.keep_identified(odd).columns == odd.columns
+
+
+# 5: mixing
+
+
+def test_weights():
+    shares = [0.7, 0.2, 0.1]
+    alpha = mixing.bisect_alpha(shares, repetition=1.5)
+    weights = mixing.temperature(shares, alpha)
+    assert max(w / s for w, s in zip(weights, shares)) == pytest.approx(1.5, rel=1e-6)
+    assert mixing.bisect_alpha(shares, repetition=10) == 0 and mixing.temperature(shares, 1) == pytest.approx(shares)
+    cold = mixing.temperature(shares, mixing.bisect_alpha(shares, entropy=0.9))
+    assert -sum(w * np.log(w) for w in cold) == pytest.approx(0.9, abs=1e-6)
+
+
+def test_mixture_meets_quotas(spark):
+    docs = table(spark, SF, "documents")
+    sizes = {r[0]: (r[1], r[2]) for r in docs.select("doc_id", "source", mixing.token_count(F.col("text"))).collect()}
+    got = mixing.mixed(docs, budget=1.3).collect()
+    assert len({(r["doc_id"], r["epoch"]) for r in got}) == len(got)
+    whole = sum(n for _, n in sizes.values())
+    for source in {s for s, _ in sizes.values()}:
+        read = sum(sizes[r["doc_id"]][1] for r in got if r["source"] == source)
+        weight = next(r["weight"] for r in got if r["source"] == source)
+        assert abs(read - weight * 1.3 * whole) <= max(n for s, n in sizes.values() if s == source)
+
+
+def test_odd_mixtures(odd, none):
+    got = mixing.mixed(odd).collect()
+    assert {r["doc_id"] for r in got} and mixing.mixed(none).count() == 0
+    assert mixing.resample(odd).columns == odd.columns
+
+
+# 6: quality
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    few = docs.join(labels.select("doc_id", F.col("quality").alias("y")), "doc_id")
+    got = quality.predict(few, quality.fit(few, labels.where(fold("doc_id") != 2))).where("held_out").join(few.select("doc_id", "y"), "doc_id").collect()
+    score, y = np.array([r["score"] for r in got]), np.array([r["y"] for r in got])
+    wins = (score[y == 1][:, None] > score[y == 0]).mean() + 0.5 * (score[y == 1][:, None] == score[y == 0]).mean()
+    assert len(y) > 300 and wins > 0.8
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in got)
+
+
+def test_trees_like_recursion():
+    random = np.random.default_rng(3)
+    x = random.normal(size=(500, 5))
+    trees = quality.fit_trees(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=10)
+
+    def walk(row, t, k=0):
+        if k >= 2**trees.depth - 1:
+            return trees.value[t, k - (2**trees.depth - 1)]
+        return walk(row, t, 2 * k + 1 + (row[trees.feature[t, k]] > trees.cut[t, k]))
+
+    assert np.allclose(trees.margin(x[:40]), [trees.base + sum(walk(r, t) for t in range(10)) for r in x[:40]])
+
+
+def test_odd_qualities(spark, odd, none):
+    labels = spark.createDataFrame([(5, 1), (4, 0), (None, 1), (7, None), (99, 1)], "doc_id bigint, quality int")
+    got = quality.predict(odd, quality.fit(odd, labels)).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["score"] for r in quality.predict(odd, quality.fit(none, labels)).collect()} == {0.5}
+
+
+# 7: chats
+
+
+def test_paths_of_a_tree(spark):
+    m = [("t", "r", None, "user", "Q", 0.0), ("t", "a", "r", "assistant", "A", 1.0), ("t", "b", "r", "assistant", "B", 3.0), ("t", "c", "b", "user", None, 0.0), ("t", "x", "y", "user", "loop", 0.0), ("t", "y", "x", "user", "loop", 0.0), ("u", "o", "gone", "user", "orphan", 0.0)]
+    df = spark.createDataFrame(m, "tree string, id string, parent string, role string, text string, score double")
+    got = {}
+    for r in chat.paths(df).orderBy("path", "depth").collect():
+        got.setdefault((r["tree"], r["path"], r["rank"]), []).append(r["text"])
+    assert got == {("t", "c", 1): ["Q", "B", ""], ("t", "a", 2): ["Q", "A"], ("u", "o", 1): ["orphan"]}
+    assert {r["path"] for r in chat.paths(df, branches=1).collect()} == {"c", "o"}
+
+
+def test_odd_conversations(spark):
+    texts = ["<|im_end|>\n<|im_start|>", "\\<|", "\\\\", None, "", "ünï 😀 \\|", "a\nb"]
+    rows = [(9, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)] + [(8, 1, None, "x"), (8, 1, "assistant", "y"), (None, None, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("path", F.lit(1))
+    got = {r["tree"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    said = "".join(f"{r}\n{t or ''}\n" for _, _, r, t in rows[:7])
+    loss = "".join(t or "" for _, _, r, t in rows[:7] if r == "assistant")
+    assert got[9]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[9]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert got[9]["loss_chars"] == len(loss) and set(got) == {8, 9, None} and chat.format_conversations(df.limit(0)).count() == 0
+
+
+# 8: images
+
+
+def test_jpeg_round_trip(spark, odd, none):
+    random = np.random.default_rng(8)
+    for n in (1, 3, 40):
+        payload = random.integers(0, 256, 192 * n, dtype=np.uint8).tobytes()
+        media = jpeg.store(payload)
+        assert jpeg.load(media) == payload
+        image, _ = jpeg._parse(media)
+        assert (jpeg._walk(image).ravel() + 128).astype(np.uint8).tobytes() == payload  # code by code
+    big = bytes(192 * (jpeg.IMAGE_ROWS + 2))
+    assert len(jpeg.decode(jpeg.store(big))) == 2 and jpeg.load(jpeg.store(big)) == big
+    with pytest.raises(jpeg.Damaged):
+        jpeg.decode(media[:-40])
+    got = jpeg.media_features(jpeg.media_column(odd)).collect()
+    assert len(got) == odd.count() and jpeg.media_features(jpeg.media_column(none)).count() == 0
+    for r in got:
+        if r["doc_id"] in (1, 2):
+            assert r["payload_sha256"] == hashlib.sha256(b" " * 192).hexdigest() and r["n_bytes"] == 0
+
+
+def test_jpeg_of_another_writer():
+    """Two components, subsampling and a restart interval, written bit by bit."""
+    dc, ac = bytes([1] * 9 + [0] * 7), bytes([1] + [0] * 15)
+    tables = jpeg._segment(0xDB, b"\x00" + b"\x08" * 64) + jpeg._segment(0xC4, b"\x00" + dc + bytes(range(8, -1, -1))) + jpeg._segment(0xC4, b"\x10" + ac + b"\x00")
+    frame = jpeg._segment(0xC0, bytes([8, 0, 16, 0, 32, 2, 1, 0x22, 0, 2, 0x11, 0]))
+    scan = jpeg._segment(0xDA, bytes([2, 1, 0, 2, 0, 0, 63, 0]))
+    code = lambda d: format(int(jpeg._codes()[d + 255]), "010b")
+    units = [[10, 5, -3, 0, 7], [20, 0, 0, 1, 0]]
+    out = b""
+    for k, unit in enumerate(units):
+        bits = "".join(map(code, unit))
+        out += int((bits + "1" * (-len(bits) % 8)), 2).to_bytes((len(bits) + 7) // 8, "big").replace(b"\xff", b"\xff\x00") + (b"\xff\xd0" if k == 0 else b"")
+    media = b"\xff\xd8" + tables + jpeg._segment(0xDD, b"\x00\x01") + frame + scan + out + b"\xff\xd9"
+    ((width, height, thumbnail),) = jpeg.decode(media)
+    assert (width, height) == (32, 16)
+    assert (thumbnail.astype(int) - 128).tolist() == [[10, 15, 20, 20], [12, 12, 20, 21]]
+
+
+# 9: lines
+
+
+def test_repeated_lines(spark):
+    texts = ["a\nb\nc", "x\na\nb\ny", "b\nc\na\nb\nc", None, "", "c", "z\nz\nz\nz"]
+    got = {r["doc_id"]: (r["text"], r["__deleted"]) for r in linededup.deduplicated(docs_of(spark, *texts)).collect()}
+    assert got == {0: ("a\nb\nc", 0), 1: ("x\ny", 2), 2: ("", 5), 3: (None, 0), 4: ("", 0), 5: ("c", 0), 6: ("z", 3)}
+
+
+@pytest.mark.parametrize("window", [2, 3])
+def test_lines_by_brute_force(spark, window):
+    random = np.random.default_rng(9)
+    texts = ["\n".join(random.choice(list("abcdefgh"), random.integers(1, 12))) for _ in range(60)]
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicated(docs_of(spark, *texts), window).collect()}
+    seen = set()
+    for k, t in enumerate(texts):
+        lines, gone = t.split("\n"), set()
+        for p in range(len(lines) - window + 1):
+            gram = tuple(lines[p : p + window])
+            gone |= set(range(p, p + window)) if gram in seen else set()
+            seen.add(gram)
+        assert got[k] == "\n".join(x for p, x in enumerate(lines) if p not in gone), k
+
+
+def test_odd_lines(odd, none):
+    got = linededup.deduplicated(odd)
+    assert got.count() == odd.count() and got.columns[: len(odd.columns)] == odd.columns and linededup.deduplicated(none).count() == 0
+
+
+# 10: near duplicates
+
+
+def _sets(text, width):
+    words = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
+
+
+def _by_pairs(rows, width, percent):
+    sets = {k: _sets(t, width) for k, t in rows.items()}
+    comp = {k: k for k in sets}
+
+    def root(k):
+        while comp[k] != k:
+            k = comp[k]
+        return k
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                comp[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), root(k)) for k in ids}
+
+
+def test_near_duplicates_by_pairs(spark):
+    rows = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op10_minhash_near_dedup"](spark, SF).collect()}
+    assert got == _by_pairs(rows, 3, 85)
+
+
+def test_near_duplicates_at_the_edge(spark):
+    """Chains and families about the limit of similarity, short texts, ties."""
+    random = np.random.default_rng(10)
+    texts = ["", None, "one", "One", "one two", "two one"]
+    for family in range(6):
+        words = [f"w{family}x{k}" for k in range(60 + 20 * family)]
+        for _ in range(12):
+            words = list(words)
+            for _ in range(random.integers(0, 3)):
+                words[random.integers(0, len(words))] = f"n{random.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs_of(spark, *texts), 3, 85).collect()}
+    assert got == _by_pairs(dict(enumerate(texts)), 3, 85)
+
+
+def test_odd_near_duplicates(odd, none):
+    got = minhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count() and all(r["kept"] for r in got) and {r["n_shingles"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
+    assert minhash.near_duplicates(none).count() == 0 and minhash.keep_one_of_each(odd).columns == odd.columns
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k % 10] + [(5, 5), (None, 3), (1, 2)], "a bigint, b bigint")
+    got = {r["id"]: r["comp"] for r in components.connected_components(edges).collect()}
+    assert got == {k: (k - 1) // 10 * 10 + 1 for k in range(1, 41)}
+    assert components.connected_components(edges.limit(0)).count() == 0
+
+
+# Queries with SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLES[name]).df()
+    cols = sorted(got.columns)
+    assert sorted(want.columns) == cols
+    a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (got, want))
+    assert a.equals(b)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs, kept = table(spark, SF, "documents"), {}
+    for name, stage in p.STAGES:
+        before, docs = docs, p.materialize(stage(spark, docs, SF), "test")
+        kept[name] = (before, docs)
+        if stage is not p.tokens:
+            assert docs.columns == before.columns
+    before, after = kept["MinHash near-dedup"]
+    comp = _by_pairs({r["doc_id"]: r["text"] for r in before.collect()}, 5, 80)
+    assert {r["doc_id"] for r in after.collect()} == {k for k, (_, c) in comp.items() if k == c}
+    before, after = kept["benchmark decontamination"]
+    assert after.count() <= before.count() and after.count() > 0.8 * before.count()
+    assert docs.count() == kept["mixing to target weights"][1].count() == p.run(spark, SF).count()
