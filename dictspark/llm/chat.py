@@ -38,10 +38,11 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     known = m.select(F.col("id").alias("parent"))
     up = m.select("id", "parent").where("id is not null and parent is not null").join(known, "parent", "left_semi").select("id", F.col("parent").alias("to"))
     steps = [materialize(up, "step")]
-    while True:
+    most = steps[0].count().bit_length()  # a path has no more steps than there are replies; longer ones are loops
+    while len(steps) < most:
         last = steps[-1]
         further = materialize(last.join(last.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "step")
-        if further.isEmpty() or len(steps) >= 40:
+        if further.isEmpty():
             break
         steps.append(further)
     parents = steps[0].select(F.col("to").alias("id")).distinct()
