@@ -7,14 +7,14 @@ from dataclasses import dataclass, field
 
 from dictspark.kernel.casing import Casing
 
-#: Settings and what they are where a dictionary is silent.
+# The names of the settings of .aff files, and what they are where a dictionary is silent.
 TEXTS = {"SET": "Windows-1252", "FLAG": "short", "LANG": None, "WORDCHARS": None, "KEY": "qwertyuiop|asdfghjkl|zxcvbnm", "TRY": "", "IGNORE": ""}
 NUMBERS = {"MAXDIFF": -1, "MAXNGRAMSUGS": 4, "MAXCPDSUGS": 3, "COMPOUNDMIN": 3, "COMPOUNDWORDMAX": None}
 FLAGS = ("NOSUGGEST KEEPCASE CIRCUMFIX NEEDAFFIX FORBIDDENWORD WARN COMPOUNDFLAG COMPOUNDBEGIN COMPOUNDMIDDLE COMPOUNDEND ONLYINCOMPOUND "
          "COMPOUNDPERMITFLAG COMPOUNDFORBIDFLAG FORCEUCASE SUBSTANDARD SYLLABLENUM COMPOUNDROOT").split()
 SWITCHES = ("COMPLEXPREFIXES FULLSTRIP NOSPLITSUGS CHECKSHARPS CHECKCOMPOUNDCASE CHECKCOMPOUNDDUP CHECKCOMPOUNDREP CHECKCOMPOUNDTRIPLE "
             "SIMPLIFIEDTRIPLE ONLYMAXDIFF COMPOUNDMORESUFFIXES FORBIDWARN").split()
-#: Names of old for settings of today.
+# Names of old for settings of today.
 RENAMED = {"PSEUDOROOT": "NEEDAFFIX", "COMPOUNDLAST": "COMPOUNDEND"}
 
 

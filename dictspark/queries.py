@@ -452,7 +452,7 @@ def compound_bad_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compounds(spark, sf_dir, most=3, triple=False)
 
 
-#: Ordinal numbers as compounds of digits.
+# Ordinal numbers as compounds of digits, as English dictionaries have them.
 ORDINALS_AFF = "COMPOUNDMIN 1\nONLYINCOMPOUND c\nCOMPOUNDRULE 2\nCOMPOUNDRULE n*1t\nCOMPOUNDRULE n*mp\n"
 ORDINALS_DIC = "\n".join(["23", "1/n1", "1st/p", "1th/tc", "2nd/p", "2th/tc", "3rd/p", "3th/tc", *(f"{d}/nm" for d in "023456789"), *(f"{d}th/pt" for d in "0456789")])
 

@@ -17,7 +17,7 @@ from dictspark.kernel.readings import Lexicon, Speller
 from dictspark.kernel.rules import Affix, Entry, Rules
 from dictspark.sources.affdic import parse_rules, parse_words
 
-#: Folders in which systems keep dictionaries.
+# Folders in which systems keep dictionaries.
 SYSTEM_FOLDERS = [
     "/usr/share/hunspell", "/usr/share/myspell", "/usr/share/myspell/dicts", "/Library/Spelling",
     "/opt/openoffice.org/basis3.0/share/dict/ooo", "/usr/lib/openoffice.org/basis3.0/share/dict/ooo",
