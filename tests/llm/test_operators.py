@@ -111,6 +111,60 @@ def test_passages_are_found(spark):
     assert whole <= found
 
 
+def _by_all_windows(texts, items):
+    """Pairs whose LCS reaches SURE, or LIKELY with the last words, in the words around some window, by plain Python."""
+    found = set()
+    for doc, text in texts.items():
+        for item, words in items.items():
+            size = next(s for s in decontaminate.SIZES if s >= len(words))
+            if len(set(words) & set(text)) < 0.3 * len(set(words)):
+                continue
+            for lo in range(0, max(1, len(text) - size // 2), size // 2):
+                span = text[max(0, lo - len(words)) : lo + size + len(words)]
+                if sum(w in span for w in words) < decontaminate.LIKELY * len(words):
+                    continue
+                share, answer = _lcs(words, span) / len(words), words[-decontaminate.ANSWER_WORDS :]
+                if share >= decontaminate.SURE or share >= decontaminate.LIKELY and _lcs(answer, span) >= decontaminate.ANSWER * len(answer):
+                    found.add((doc, item))
+                    break
+    return found
+
+
+def _split(text):
+    return re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", _ascii("lower", text or "")).split()
+
+
+def _ascii(case, text):
+    """wordhash knows the case of A-Z alone."""
+    return "".join(getattr(c, case)() if c.isascii() else c for c in text)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """(documents, benchmark of 200 items, planted pairs): copies, upper case, and every sixth word another."""
+    bench = table(spark, "/root/testdata/sf0.1", "benchmark")
+    docs = table(spark, SF, "documents").select(*[c.split()[0] for c in DOCS.split(", ")])
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    base = docs.where("n_chars > 500").orderBy("doc_id").limit(60).collect()
+    rows = []
+    for k, item in enumerate(sorted(items)):
+        words = items[item].split()
+        words = [_ascii("upper", w) for w in words] if k % 3 == 1 else [f"zzqx{i}" if k % 3 == 2 and i % 6 == 5 else w for i, w in enumerate(words)]
+        r = base[k % len(base)]
+        rows.append((10_000 + k, r["text"][:350] + " " + " ".join(words) + " " + r["text"][350:], r["lang"], "p", 0))
+    return docs.unionByName(spark.createDataFrame(rows, DOCS)), bench, {(10_000 + k, item) for k, item in enumerate(sorted(items))}
+
+
+def test_no_passage_of_many_is_lost(planted):
+    docs, bench, pairs = planted
+    assert bench.count() >= 200
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    texts = {r["doc_id"]: _split(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    assert pairs <= found and found == _by_all_windows(texts, {r["item_id"]: _split(r["text"]) for r in bench.collect()})
+    clean = {r["doc_id"] for r in decontaminate.keep_clean(docs, bench).select("doc_id").collect()}
+    assert clean == set(texts) - {d for d, _ in found}
+
+
 def test_odd_benchmarks(spark, odd, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "same text here"), (None, "same text here as well"), (4, "a b c d e f g h")], "item_id bigint, text string")
     assert {r["item_id"] for r in decontaminate.contaminated(odd, bench).collect()} <= {3, None}
