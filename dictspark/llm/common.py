@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _SCRATCH: dict[str, list[str]] = {}
+#: Bytes of text that a Python worker looks at in one go.
+PIECE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one if all of Spark is one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="dictspark-")
     return _OWN_DIR[app]
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, remembered for release_scratch()."""
+def new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder; unless it is to be kept, remembered for release_scratch()."""
     path = f"{shared_dir(spark)}/dictspark-llm/{label}-{uuid.uuid4().hex}"
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if not keep:
+        _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
@@ -38,16 +46,70 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Delete the tables that materialize() wrote in this application; call it once results have been stored."""
-    jvm, n = spark.sparkContext._jvm, 0
-    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        n += bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
-    return n
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once all that reads them has been stored."""
+    for df in tables:
+        spark = df.sparkSession
+        _delete(spark, df.scratch)
+        with contextlib.suppress(KeyError, ValueError):
+            _SCRATCH[spark.sparkContext.applicationId].remove(df.scratch)
+
+
+def scratch_tables(spark: SparkSession) -> int:
+    """How many tables of materialize() there are now, for the argument of release_scratch()."""
+    return len(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def release_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete what materialize() wrote in this application after the first `since` tables, but not keep.
+
+    Call it once the results that read those tables have been stored.
+    """
+    own = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    gone = [path for path in own[since:] if keep is None or path != keep.scratch]
+    own[since:] = [path for path in own[since:] if path not in gone]
+    return sum(_delete(spark, path) for path in gone)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that none of columns has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out anew where a plain scan has fewer tasks than there are cores: work in Python would leave cores idle."""
+    plan = docs._jdf.queryExecution()
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan":  # holds a shuffle, and would run here
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if plan.toRdd().getNumPartitions() < cores else docs
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about most bytes in column number text; a row is never cut."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        whole, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(whole, whole[at] - sizes[at] + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +138,12 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+    """mapInArrow for a function of one batch, which gets pieces of bounded size in the column text."""
+    place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, place):
             yield function(batch)
 
     return df.mapInArrow(run, schema)

@@ -14,6 +14,7 @@ A null doc_id is stored as NO_ID. Blocks can be unpacked one by one with numpy;
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import new_path, table
+from dictspark.llm.common import new_path, pieces, table
 
 MAGIC = b"DSTOKEN1"
 _HEAD = struct.Struct("<8sIIQQQ")
@@ -40,17 +42,25 @@ SHARD_DOCS, SHARDS = 4096, 20_000
 FILE_SCHEMA = "shard int, part int, ids_before bigint, n_ids bigint, n_docs bigint, data binary"
 
 # Texts of these characters alone fall apart at white space: no combining marks, no space on which engines differ.
-_ODD = re.compile("[^\t-\r -~\xa1-įı-ɏ]|<\\|")
+_ODD = r"[^\t-\r -~\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
 _LETTERS = re.compile("[a-zªµºß-öø-ɏ]+")
-_ENDED = re.compile("([a-zªµºß-öø-ɏ]+)([.,;:!?]+)")
+#: Marks at the end of a word, which the model takes apart from it; apostrophes begin tokens of their own.
+_ENDED = r"([0-9a-zªµºß-öø-ɏ])([!-&(-/:-@\[-`{-~]+)(\s|$)"
+#: The only steps before the model for which a text's ids are those of its words.
+_BEFORE = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
 #: Bytes as the characters by which byte-level models write them.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b if b in _PRINTED else 256 + b - sum(p < b for p in _PRINTED)) for b in range(256)}
-_CHUNKS, _WORDS = 300_000, 900_000
+#: Words that are remembered.
+_WORDS = 400_000
 
 
 class Encoder:
-    """Ids of whole texts as bytes of one fixed type, with bounded tables of words already encoded."""
+    """Ids of whole texts, with a bounded table of words already encoded."""
 
     def __init__(self, path: str, special: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,44 +74,80 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.bpe = self.model.model
         parsed = json.loads(self.model.to_str())
-        kinds = [x.get("type") for x in (parsed.get("normalizer") or {}).get("normalizers", [])]
+        before = parsed.get("pre_tokenizer") or {}
+        steps = before.get("pretokenizers", [])
         #: Whether a text's ids are those of its words, one after the other (this needs white space to be dropped).
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and "</w>" == parsed["model"].get("end_of_word_suffix") and not parsed.get("post_processor")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            if len(self.words) >= _WORDS:
-                self.words.clear()
-            if _LETTERS.fullmatch(word):
-                known = np.array([x.id for x in self.bpe.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))], self.dtype).tobytes()
+        self.by_word = (
+            [x.get("type") for x in (parsed.get("normalizer") or {}).get("normalizers", [])] == _BEFORE["normalizer"]
+            and [x.get("type") for x in steps] == _BEFORE["pre_tokenizer"]
+            and steps[0].get("pattern") == {"Regex": _BEFORE["split"]}
+            and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+            and not steps[1].get("add_prefix_space")
+            and not steps[1].get("use_regex")
+            and parsed["model"].get("type") == "BPE"
+            and parsed["model"].get("end_of_word_suffix") == "</w>"
+            and not parsed.get("post_processor")
+        )
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.starts, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype), 0
+
+    def _plain(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, missing: list[str]) -> None:
+        """Add the ids of missing words to the table."""
+        lists = []
+        for w in missing:
+            if _LETTERS.fullmatch(w):
+                lists.append([x.id for x in self.bpe.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS))])
             else:
-                known = self._plain(word)
-            self.words[word] = known
-        return known
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.chunks) + len(missing) > _CHUNKS:
-            self.chunks.clear()
-        for x in missing:
-            m = _ENDED.fullmatch(x)
-            self.chunks[x] = self._word(m[1]) + self._word(m[2]) if m else self._word(x)
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_word or _ODD.search(text):
-            return self._plain(text)
-        found = text.lower().split()
-        for _ in range(2):  # twice where learning has emptied the table
-            ids = list(map(self.chunks.get, found))
-            if None not in ids:
-                return b"".join(ids)
-            self._learn({x for x, known in zip(found, ids) if known is None})
-        return b"".join(self.chunks[x] if x in self.chunks else self._word(x) for x in found)
+                lists.append(self._plain(w))
+        first = len(self.words)
+        ends = self.used + np.cumsum([len(x) for x in lists])
+        if first + len(missing) + 1 > len(self.starts):
+            self.starts = np.append(self.starts, np.zeros(max(len(self.starts), len(missing)), np.int64))
+        if ends[-1] > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(max(len(self.ids), int(ends[-1])), self.dtype))
+        self.starts[first + 1 : first + 1 + len(missing)] = ends
+        self.ids[self.used : ends[-1]] = np.fromiter(itertools.chain.from_iterable(lists), self.dtype, int(ends[-1]) - self.used)
+        self.used = int(ends[-1])
+        self.words.update(zip(missing, range(first, first + len(missing))))
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _ENDED, r"\1 \2\3"))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.words) + len(words) > _WORDS:
+            self._forget()
+        missing = [w for w in words if w not in self.words]
+        if missing:
+            self._learn(missing)
+        row = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if words else np.zeros(0, np.int64)
+        begin = self.starts[row]
+        end = np.cumsum(self.starts[row + 1] - begin)
+        size = np.diff(end, prepend=0)
+        flat = self.ids[np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - size), size)]
+        bounds = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        return flat, np.append(0, end)[bounds - bounds[0]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts, one after the other; where each one's begin, and the end); nulls count as empty."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        if not odd.any() and len(texts):
+            return self._by_words(texts)
+        parts: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            flat, bounds = self._by_words(texts.take(pa.array(plain)))
+            for k, i in enumerate(plain.tolist()):
+                parts[i] = flat[bounds[k] : bounds[k + 1]]
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = np.array(self._plain(texts[i].as_py()), self.dtype)
+        return np.concatenate([*parts, np.zeros(0, self.dtype)]), np.cumsum([0, *map(len, parts)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -115,17 +161,29 @@ def width_of(size: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
+    """width bits of each id (32 at most), lowest bit first; the last byte is filled up with zeros."""
     if width in (8, 16, 32):
         return ids.astype(f"<u{width // 8}").tobytes()
-    bits = (ids.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    at = np.arange(len(ids), dtype=np.int64) * width
+    word, shift = at >> 5, (at & 31).astype(np.uint64)
+    shifted = ids.astype(np.uint64) << shift  # each id reaches into one or two words of 32 bits
+    out = np.zeros(-(-len(ids) * width // 32) + 1, np.uint64)
+    for part, place in ((shifted & np.uint64(0xFFFFFFFF), word), (shifted >> np.uint64(32), word + 1)):
+        first = np.flatnonzero(np.diff(place, prepend=-1)) if len(place) else place
+        out[place[first]] |= np.bitwise_or.reduceat(part, first) if len(first) else part
+    return out.astype("<u4").tobytes()[: -(-len(ids) * width // 8)]
 
 
 def unpack(data: bytes | memoryview, n: int, width: int) -> np.ndarray:
     if width in (8, 16, 32):
         return np.frombuffer(data, f"<u{width // 8}", n).astype(np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1).astype(np.uint32)
+    raw = np.zeros(-(-n * width // 32) * 4 + 8, np.uint8)
+    own = np.frombuffer(data, np.uint8)[: -(-n * width // 8)]
+    raw[: len(own)] = own
+    words = raw[: len(raw) // 4 * 4].view("<u4").astype(np.uint64)
+    at = np.arange(n, dtype=np.int64) * width
+    both = words[at >> 5] | (words[(at >> 5) + 1] << np.uint64(32))
+    return ((both >> (at & 31).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def build_file(doc_ids: list[int], ids: list[np.ndarray], width: int, before: int = 0, block: int = BLOCK) -> bytes:
@@ -176,7 +234,7 @@ def _write(path: str, end_id: int | None, special: bool, width: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard = encoder(path, special), TaskContext.get().partitionId()
         bits = width or width_of(max(coder.size, (end_id or 0) + 1))
-        tail = b"" if end_id is None else np.array([end_id], coder.dtype).tobytes()
+        tail = np.array([] if end_id is None else [end_id], coder.dtype)
         part = before = held = 0
         doc_ids, ids = [], []
 
@@ -184,9 +242,10 @@ def _write(path: str, end_id: int | None, special: bool, width: int | None):
             row = (shard, part, before, held, len(ids), build_file(doc_ids, ids, bits, before))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "part", "ids_before", "n_ids", "n_docs", "data"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(np.frombuffer(coder.encode(text.as_py() or "") + tail, coder.dtype))
+        for batch in pieces(batches, 1):
+            flat, bounds = coder.encode(batch.column(1))
+            for doc_id, lo, hi in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                ids.append(np.concatenate([flat[lo:hi], tail]))
                 doc_ids.append(NO_ID if doc_id is None else doc_id)
                 held += len(ids[-1])
                 if held >= FILE_IDS:
@@ -236,9 +295,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Write the files of docs to the shared folder and return what is read back from them."""
+    """Write the files of docs to the shared folder, where they stay, and return what is read back from them."""
     spark = docs.sparkSession
-    out = new_path(spark, "tokens")
+    out = new_path(spark, "tokens", keep=True)
     write_token_files(docs, out, tokenizer, end_id)
     return read_token_files(spark, out)
 
@@ -250,4 +309,5 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from token files; see write_token_files() for odd rows."""
     return token_output(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
