@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import materialize
+from dictspark.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,5 +22,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         near = both.join(labels.select(F.col("id").alias("v"), "comp"), "v").groupBy(F.col("u").alias("id")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("to"))
         far = labels.select(F.col("id").alias("to"), F.col("comp").alias("far"))
-        labels = materialize(step.join(far, "to").select("id", F.least("to", "far").alias("comp"), (F.least("to", "far") < F.col("was")).alias("moved")), "labels")
+        before, labels = labels, materialize(step.join(far, "to").select("id", F.least("to", "far").alias("comp"), (F.least("to", "far") < F.col("was")).alias("moved")), "labels")
+        discard(before)
+    discard(both)
     return labels.select("id", "comp")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dictspark.llm import wordhash
-from dictspark.llm.common import materialize, table, text_bytes
+from dictspark.llm.common import discard, materialize, pieces, spread, table, text_bytes
 from dictspark.llm.components import connected_components
 
 #: Bins of the two permutations; coordinates of a signature; its bands of ROWS coordinates each.
@@ -20,6 +20,8 @@ SALT = 512
 
 #: Cells of the table of shingle counts by which prefixes are ordered.
 CELLS = 1 << 18
+#: Sets from which a shingle is hot; then two, and LEVELS at most, must be shared.
+HOT, LEVELS = 64, 3
 
 _SIGNATURE_SCHEMA = "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
 _PERMUTATIONS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -47,7 +49,7 @@ def signature(shingles: np.ndarray, coordinates: int = BANDS * ROWS, bins: int =
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             raw, bounds = text_bytes(batch.column(1))
             hashes, first = wordhash.words(raw, bounds)
             n = batch.num_rows
@@ -74,7 +76,7 @@ def _verify(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leaders = None, []
-        for batch in batches:
+        for batch in pieces(batches, 1):
             raw, bounds = text_bytes(batch.column("text"))
             hashes, first = wordhash.words(raw, bounds)
             ids, leader, salt, tag = (batch.column(k).to_pylist() for k in ("id", "leader", "salt", "tag"))
@@ -109,43 +111,48 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     members = pairs.join(counted, "leader").select("id", "leader", F.lit(1).alias("tag"), F.expr("cast(pmod(xxhash64(id), salts) as int)").alias("salt"))
     heads = counted.select(F.col("leader").alias("id"), "leader", F.lit(0).alias("tag"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
     rows = members.unionByName(heads).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    rows = rows.select("id", "text", "leader", "tag", "salt")
     dealt = rows.repartition(F.col("leader"), F.col("salt")).sortWithinPartitions("leader", "salt", "tag", "id")
     return dealt.mapInArrow(_verify(width, percent), "a bigint, b bigint").distinct()
 
 
-def _cells(width: int):
+def _cells(width: int, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            hashes, first = wordhash.words(*text_bytes(batch.column("text")))
-            for i in range(batch.num_rows):
-                own = wordhash.shingles(hashes[first[i] : first[i + 1]], width)
-                total += np.bincount((own >> np.uint64(46)).astype(np.int64), minlength=CELLS)
+        for batch in pieces(batches, text):
+            hashes, first = wordhash.words(*text_bytes(batch.column(text)))
+            sets = [wordhash.shingles(hashes[a:b], width) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            total += np.bincount((np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(46)).astype(np.int64), minlength=CELLS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "c"])
 
     return run
 
 
-def _prefixes(width: int, percent: int, shared):
-    """The rarest shingles of each set, as many as a similar set must share one of, without those that occur once."""
+def _prefixes(width: int, percent: int, text: int, shared):
+    """The rarest shingles of each set, without those that occur once: place in the set's order, and size of the prefix.
+
+    Similar sets share one of their prefixes, and l of l - 1 shingles more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, first = wordhash.words(*text_bytes(batch.column("text")))
-            token, place, size, row = [], [], [], []
+        for batch in pieces(batches, text):
+            hashes, first = wordhash.words(*text_bytes(batch.column(text)))
+            token, place, size, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
             for i in range(batch.num_rows):
                 own = wordhash.shingles(hashes[first[i] : first[i + 1]], width)
                 n = len(own)
                 times = shared.value[(own >> np.uint64(46)).astype(np.int64)]
-                order = np.lexsort((own, times))[: n - -(-percent * n // 100) + 1]
+                order = np.lexsort((own, times))[: n - -(-percent * n // 100) + LEVELS]
                 at = np.flatnonzero(times[order] > 1)
                 token.append(own[order[at]].view(np.int64))
                 place.append(at)
-                size.append(np.full(len(at), n))
-                row.append(np.full(len(at), i))
-            take = pa.array(np.concatenate(row) if row else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token or [np.zeros(0, np.int64)])), batch.column("id").take(take), batch.column("comp").take(take), pa.array(np.concatenate(size or [np.zeros(0, np.int64)])), pa.array(np.concatenate(place or [np.zeros(0, np.int64)]))], names=["token", "id", "comp", "n", "at"])
+                size.append(n)
+                row.append(len(at))
+            take = pa.array(np.repeat(np.arange(batch.num_rows), row))
+            size = np.repeat(np.array(size, np.int64), row)
+            own = [pa.array(np.concatenate(token)), pa.array(size), pa.array(np.concatenate(place)), pa.array(size - -(-percent * size // 100) + 1)]
+            yield pa.RecordBatch.from_arrays([own[0], batch.column("id").take(take), batch.column("comp").take(take), *own[1:]], names=["token", "id", "comp", "n", "at", "prefix"])
 
     return run
 
@@ -155,19 +162,34 @@ def prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     All sets are put in one order, rare shingles first. Two sets whose similarity suffices share a shingle of their
     prefixes; at the first of these, what is left of both bounds what they can still share. Pairs that fall below
-    the bound are never made. The order comes from a table of CELLS counts, the only thing that is broadcast.
+    the bound are never made. Where more than HOT sets share a shingle, the second and third that similar sets must share
+    are asked for as well, so that a shingle of many sets doesn't pair them all. The order comes from a table of CELLS
+    counts, the only thing that is broadcast.
     """
-    cells = docs.mapInArrow(_cells(width), "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c"))
+    text = docs.columns.index("text")
+    cells = docs.mapInArrow(_cells(width, text), "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c"))
     counts = np.zeros(CELLS, np.int64)
     for row in cells.toLocalIterator():
         counts[row["cell"]] = row["c"]
-    rows = docs.mapInArrow(_prefixes(width, percent, docs.sparkSession.sparkContext.broadcast(counts)), "token bigint, id bigint, comp bigint, n bigint, at bigint")
+    rows = docs.mapInArrow(_prefixes(width, percent, text, docs.sparkSession.sparkContext.broadcast(counts)), "token bigint, id bigint, comp bigint, n bigint, at bigint, prefix bigint")
     rows = materialize(rows, "prefixes")
-    both = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    x, y = rows.join(both, "token").alias("x"), rows.alias("y")
+    keyed, level, out = rows.where("at < prefix").select(F.col("token").alias("key"), "id", "comp", "n", "at", F.col("at").alias("last")), 1, None
     left = "least(x.n - x.at, y.n - y.at)"
-    found = x.join(y, F.expr(f"x.token = y.token and x.comp < y.comp and 100 * {left} >= {percent} * (x.n + y.n - {left})"))
-    return found.select(F.least("x.id", "y.id").alias("leader"), F.greatest("x.id", "y.id").alias("id")).where("leader < id").distinct()
+    while keyed is not None:
+        groups = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", (F.col("c") > HOT).alias("hot"))
+        groups = materialize(groups, "groups")
+        now = groups if level == LEVELS else groups.where("not hot")
+        x, y = keyed.join(now.select("key"), "key").alias("x"), keyed.alias("y")
+        found = x.join(y, F.expr(f"x.key = y.key and x.comp < y.comp and 100 * {left} >= {percent} * (x.n + y.n - {left})"))
+        found = found.select(F.least("x.id", "y.id").alias("leader"), F.greatest("x.id", "y.id").alias("id")).where("leader < id")
+        out = found if out is None else out.unionByName(found)
+        if level == LEVELS or groups.where("hot").isEmpty():
+            break
+        level += 1
+        more = rows.select("id", F.col("token").alias("next"), F.col("at").alias("place"), "prefix")
+        wider = keyed.join(groups.where("hot").select("key"), "key").join(more, "id").where(f"place > last and place < prefix + {level - 1}")
+        keyed = materialize(wider.select(F.xxhash64("key", "next").alias("key"), wider["id"], "comp", "n", "at", F.col("place").alias("last")), "prefixes")
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -183,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     kept. Rows that share a doc_id count as one document with several texts. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = materialize(docs.mapInArrow(_signatures(width), _SIGNATURE_SCHEMA), "signatures")
+    signed = materialize(spread(docs).mapInArrow(_signatures(width), _SIGNATURE_SCHEMA), "signatures")
     sets = ["d1", "d2", "n"]
     usable = signed.where("n > 0 and id is not null")
     classes = materialize(usable.groupBy(*sets).agg(F.min(F.struct("id", "bands")).alias("r")).select(*sets, "r.*"), "classes")
@@ -207,6 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     late = materialize(verified(near, rest, width, percent), "links")
     if not late.isEmpty():
         labels = connected_components(firm.unionByName(late))
+    discard(buckets, best, near, firm, texts, rest, late)
 
     named = classes.select(*sets, "id").join(labels, "id", "left").select(*sets, F.coalesce("comp", "id").alias("component_id"))
     whole = signed.select("id", *sets).join(named, sets, "left")
@@ -215,10 +238,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, without those whose doc_id is not the smallest of its group."""
+    """The rows of docs, all columns, without those whose doc_id is not the smallest of its group.
+
+    Rows with a null or wordless text or a null doc_id stay; rows that share a doc_id stay or go together; an empty table
+    gives no rows.
+    """
     gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles have a similarity of 0.85 or more; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
