@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dictspark.llm import wordhash
-from dictspark.llm.common import fold, table, text_bytes
+from dictspark.llm.common import fold, pieces, spread, table, text_bytes
 
 #: About so many labelled rows are learned from, chosen by a hash of the id.
 FIT_ROWS = 20_000
@@ -116,7 +116,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         found = statistics(*text_bytes(batch.column(1)))
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES)), pa.array(found.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["label", "x"])
@@ -125,7 +125,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
     """Learn labels(doc_id, quality) of docs(doc_id, text); about fit_rows of them, chosen by hash, are read.
 
-    Labels other than 0 and 1 and null ids are left out; a document with several labels counts with each.
+    Labels other than 0 and 1 and null ids are left out; a document with several labels counts with each; null texts count
+    as empty; without labels the trees are empty.
     """
     usable = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("label"))
     share = min(1.0, fit_rows / max(1, usable.count()))
@@ -144,14 +145,18 @@ def predict(docs: DataFrame, trees: Trees, cut: float = CUT) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             score = shared.value.score(statistics(*text_bytes(batch.column(2))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold("doc_id") == 2).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return spread(rows).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text of documents, learned from labels outside fold 2; see predict().
+
+    An empty table of documents gives no rows, one of labels a score of 0.5 for all.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return predict(docs, fit(docs, labels.where(fold("doc_id") != 2)))
