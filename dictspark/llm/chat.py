@@ -108,6 +108,10 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and sizes of every conversation, read back from its formatted text and loss mask; see as_trees() for odd rows.
+
+    A conversation without trained text has an empty loss; an empty table leaves conversation -1 alone.
+    """
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     own = spark.range(2).select(F.lit(OWN_ID).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(TRAINED).alias("role"), F.lit(OWN_TEXT).alias("text"))
     out = read_back(materialize(format_conversations(rows.unionByName(own)), "conversations"))

@@ -97,6 +97,7 @@ def _sql() -> str:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each whole text of documents is, or null; see scan() for odd rows."""
     return scan(table(spark, sf_dir, "documents"))
 
 
