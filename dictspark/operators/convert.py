@@ -30,4 +30,4 @@ def breakings(df: DataFrame, dictionary: Dictionary, column: str = "word") -> Da
     def several(d: Dictionary, w: str) -> list[tuple]:
         return list(enumerate(d.speller.breakings(w)))
 
-    return by_word(df, column, dictionary, [("breaking", "int", pa.int32()), ("parts", "array<string>", pa.list_(pa.string()))], several)
+    return by_word(df, column, dictionary, [("breaking", "int", pa.int32()), ("parts", "array<string>", pa.list_(pa.string()))], several, several=True)

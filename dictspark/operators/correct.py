@@ -22,7 +22,7 @@ def suggestions(df: DataFrame, dictionary: Dictionary, column: str = "word") ->
     def several(d: Dictionary, w: str) -> list[tuple]:
         return [(k, kind, text) for k, (kind, text) in enumerate(d.corrector.suggestions(w))]
 
-    return by_word(df, column, dictionary, [("ordinal", "int", pa.int32()), ("kind", "string", pa.string()), ("suggestion", "string", pa.string())], several)
+    return by_word(df, column, dictionary, [("ordinal", "int", pa.int32()), ("kind", "string", pa.string()), ("suggestion", "string", pa.string())], several, several=True, costly=True)
 
 
 def slips(df: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rules, most: int = 15, word: str = "word") -> DataFrame:

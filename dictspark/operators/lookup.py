@@ -112,4 +112,4 @@ def analysed(df: DataFrame, dictionary: Dictionary, column: str = "word") -> Dat
 
     texts = pa.list_(pa.string())
     added = [("reading", "int", pa.int32()), ("parts", "array<string>", texts), ("stems", "array<string>", texts), ("affixes", "array<string>", texts)]
-    return by_word(df, column, dictionary, added, several)
+    return by_word(df, column, dictionary, added, several, several=True, costly=True)

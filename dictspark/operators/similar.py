@@ -20,4 +20,4 @@ def nearest_roots(df: DataFrame, dictionary: Dictionary, k: int = 100, column: s
     def several(d: Dictionary, w: str) -> list[tuple]:
         return [(stem, score, rank) for rank, (score, stem) in enumerate(d.corrector.similar.roots(w.lower(), k), 1)]
 
-    return by_word(df, column, dictionary, [("stem", "string", pa.string()), ("score", "bigint", pa.int64()), ("rank", "bigint", pa.int64())], several)
+    return by_word(df, column, dictionary, [("stem", "string", pa.string()), ("score", "bigint", pa.int64()), ("rank", "bigint", pa.int64())], several, several=True, costly=True)

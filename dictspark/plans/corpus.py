@@ -14,10 +14,24 @@ from dictspark.kernel.rules import Rules
 from dictspark.operators.lookup import checked
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out anew where a plain scan has fewer tasks than there are cores: what explodes texts would leave cores idle."""
+    plan = docs._jdf.queryExecution()
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan":  # holds a shuffle, and would run here
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if plan.toRdd().getNumPartitions() < cores else docs
+
+
+def table_tokens(docs: DataFrame, *by: str, text: str = "text", lower: bool = True) -> DataFrame:
+    """(by..., word): a row for each token of docs."""
+    found = tokens(F.lower(F.col(text)) if lower else F.col(text))
+    return docs.select(*by, F.explode(found).alias("word"))
+
+
 def token_counts(docs: DataFrame, *by: str, text: str = "text", lower: bool = True) -> DataFrame:
     """(by..., word, count): tokens of docs, summed up on the map side before the one shuffle."""
-    found = tokens(F.lower(F.col(text)) if lower else F.col(text))
-    return docs.select(*by, F.explode(found).alias("word")).groupBy(*by, "word").count()
+    return table_tokens(docs, *by, text=text, lower=lower).groupBy(*by, "word").count()
 
 
 def error_rates(docs: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rules, *by: str, text: str = "text") -> DataFrame:

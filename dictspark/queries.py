@@ -17,7 +17,7 @@ from dictspark.operators.expand import expanded
 from dictspark.operators.lookup import analysed, checked, spelled
 from dictspark.operators.probe import has_flag, homonyms
 from dictspark.operators.similar import nearest_roots
-from dictspark.plans.corpus import error_rates, token_counts, top_misspellings
+from dictspark.plans.corpus import error_rates, spread, table_tokens, token_counts, top_misspellings
 from dictspark.sources.affdic import parse_rules
 from dictspark.sources.dictionary import Dictionary
 
@@ -28,6 +28,8 @@ ORACLES: dict[str, str] = {}
 
 #: Least count and length of a stem.
 LEAST_COUNT, LEAST_LENGTH = 5, 2
+#: Stems of which a Dictionary is made in one process.
+MOST_STEMS = 4_000_000
 #: Flags and when a stem (with count c) has them; the conditions are valid in Spark SQL and in DuckDB.
 STEM_FLAGS = {
     "S": "right(stem, 1) <> 's'", "D": "length(stem) % 2 = 0", "G": "length(stem) % 3 = 0", "Y": "c % 2 = 0", "L": "length(stem) >= 5", "U": "left(stem, 1) < 'n'",
@@ -76,9 +78,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, n, c) of the lower-cased words of documents: how often they occur, and how often in English.
+
+    Queries take words and dictionary from it. Both sides ask for both counts, so that Spark finds one exchange under them
+    and reads texts once.
+    """
+    found = table_tokens(spread(table(spark, sf_dir, "documents")), "lang")
+    return found.groupBy("word").agg(F.count("*").alias("n"), F.count(F.when(F.col("lang") == "en", 1)).alias("c")).where("n > 0 and c >= 0")
+
+
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts(table(spark, sf_dir, "documents").where("lang = 'en'"))
-    counts = counts.select(F.col("word").alias("stem"), F.col("count").alias("c")).where((F.col("c") >= LEAST_COUNT) & (F.length("stem") >= LEAST_LENGTH))
+    counts = vocabulary(spark, sf_dir).select(F.col("word").alias("stem"), F.col("c")).where((F.col("c") >= LEAST_COUNT) & (F.length("stem") >= LEAST_LENGTH))
     flags = F.filter(F.array(*(F.when(F.expr(when), flag) for flag, when in STEM_FLAGS.items())), lambda x: x.isNotNull())
     return counts.select("stem", "c", flags.alias("flags"))
 
@@ -94,15 +105,21 @@ def affixes(spark: SparkSession) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str, *roles: str) -> Dictionary:
-    """The stems as a Dictionary: an .aff and a .dic text like any other."""
-    rows = stems(spark, sf_dir).orderBy("stem").select(F.concat_ws("/", "stem", F.array_join("flags", "")).alias("line"))
+    """The stems as a Dictionary: an .aff and a .dic text like any other. Their number is checked before they are fetched."""
+    found = stems(spark, sf_dir).persist()
+    if (n := found.count()) > MOST_STEMS:
+        raise ValueError(f"{n} stems are too many for one process; join with words() and affixes() instead")
+    rows = found.orderBy("stem").select(F.concat_ws("/", "stem", F.array_join("flags", "")).alias("line"))
     lines = [r["line"] for r in rows.toLocalIterator()]
+    found.unpersist()
     aff = "SET UTF-8\n" + AFF + "".join(f"{role} {ROLES[role]}\n" for role in roles)
     return Dictionary.from_bytes(aff.encode(), "\n".join([str(len(lines)), *lines]).encode())
 
 
 def distinct_words(spark: SparkSession, sf_dir: str, name: str = "documents", lower: bool = True) -> DataFrame:
-    return token_counts(table(spark, sf_dir, name), lower=lower).select("word")
+    if name == "documents" and lower:
+        return vocabulary(spark, sf_dir).select("word")
+    return token_counts(spread(table(spark, sf_dir, name)), lower=lower).select("word")
 
 
 def query(sql: str | None = None):
@@ -137,31 +154,33 @@ def _affix_rows() -> str:
 
 
 def _off(kind: str, source: str, word: str, also: str) -> str:
-    """Rows of source with one affix off: stem, a (the rule) and what else is asked for."""
+    """Rows of source with one affix off: stem, a (the rule) and what else is asked for. Ends are joined by equality."""
+    size = "unnest([" + ", ".join(map(str, sorted({len(x.add) for x in rules().all_affixes(kind)}))) + "]) AS cut"
     if kind == "SFX":
-        stem, end, fits = f"left({word}, length({word}) - length(a.affix)) || a.strip", f"suffix({word}, a.affix)", "'(?:' || a.condition || ')$'"
+        stem, end, fits = f"left({word}, length({word}) - cut) || a.strip", f"right({word}, cut)", "'(?:' || a.condition || ')$'"
     else:
-        stem, end, fits = f"a.strip || substr({word}, length(a.affix) + 1)", f"starts_with({word}, a.affix)", "'^(?:' || a.condition || ')'"
-    return f"SELECT {also}, {stem} AS stem FROM {source} s JOIN affixes a ON a.kind = '{kind}' AND {end} WHERE regexp_matches({stem}, {fits})"
+        stem, end, fits = f"a.strip || substr({word}, cut + 1)", f"left({word}, cut)", "'^(?:' || a.condition || ')'"
+    return f"SELECT {also}, {stem} AS stem FROM (SELECT *, {size} FROM {source}) s JOIN affixes a ON a.kind = '{kind}' AND a.affix = {end} AND length(a.affix) = cut WHERE regexp_matches({stem}, {fits})"
 
 
 _NO_RULE = "NULL::VARCHAR AS {0}flag, NULL::VARCHAR[] AS {0}flags"
+_AND = "s.word, s.kind, s.variant, s.form, s.pflag, s.pflags"
 _HYP = ", ".join([
     _affix_rows(),
-    f"h1 AS ({_off('SFX', 'forms', 'form', 's.*, ' + _NO_RULE.format('p') + ', a.flag AS sflag, a.flags AS sflags, []::VARCHAR[][] AS outers, [1, length(a.affix), a.ord] AS ordinal')})",
-    f"h2 AS ({_off('SFX', 'h1', 's.stem', 's.word, s.kind, s.variant, s.form, s.pflag, s.pflags, a.flag AS sflag, a.flags AS sflags, [s.sflags] AS outers, s.ordinal || [length(a.affix), a.ord] AS ordinal')} AND list_contains(a.flags, s.sflag))",
-    f"h3 AS ({_off('PFX', 'forms', 'form', 's.*, a.flag AS pflag, a.flags AS pflags, a.crossed, NULL::VARCHAR AS sflag, NULL::VARCHAR[] AS sflags, []::VARCHAR[][] AS outers, [2, length(a.affix), a.ord] AS ordinal')})",
-    f"h4 AS ({_off('SFX', '(SELECT * FROM h3 WHERE crossed)', 's.stem', 's.word, s.kind, s.variant, s.form, s.pflag, s.pflags, a.flag AS sflag, a.flags AS sflags, []::VARCHAR[][] AS outers, s.ordinal || [length(a.affix), a.ord] AS ordinal')} AND a.crossed)",
-    f"h5 AS ({_off('SFX', 'h4', 's.stem', 's.word, s.kind, s.variant, s.form, s.pflag, s.pflags, a.flag AS sflag, a.flags AS sflags, [s.sflags] AS outers, s.ordinal || [length(a.affix), a.ord] AS ordinal')} AND a.crossed AND list_contains(a.flags, s.sflag))",
-    "hyp AS (" + " UNION ALL ".join(
-        [f"SELECT word, kind, variant, form, {_NO_RULE.format('p')}, {_NO_RULE.format('s')}, []::VARCHAR[][] AS outers, [0] AS ordinal, form AS stem FROM forms"]
-        + [f"SELECT word, kind, variant, form, pflag, pflags, sflag, sflags, outers, ordinal, stem FROM h{k}" for k in range(1, 6)]
+    f"h1 AS MATERIALIZED ({_off('SFX', 'forms', 'form', 's.* EXCLUDE (cut), ' + _NO_RULE.format('p') + ', a.flag AS sflag, a.flags AS sflags, []::VARCHAR[][] AS outers, [1, length(a.affix), a.ord] AS ordinal, []::VARCHAR[] AS front, [a.affix] AS back')})",
+    f"h2 AS MATERIALIZED ({_off('SFX', 'h1', 's.stem', _AND + ', a.flag AS sflag, a.flags AS sflags, [s.sflags] AS outers, s.ordinal || [length(a.affix), a.ord] AS ordinal, s.front, s.back || [a.affix] AS back')} AND list_contains(a.flags, s.sflag))",
+    f"h3 AS MATERIALIZED ({_off('PFX', 'forms', 'form', 's.* EXCLUDE (cut), a.flag AS pflag, a.flags AS pflags, a.crossed, NULL::VARCHAR AS sflag, NULL::VARCHAR[] AS sflags, []::VARCHAR[][] AS outers, [2, length(a.affix), a.ord] AS ordinal, [a.affix] AS front, []::VARCHAR[] AS back')})",
+    f"h4 AS MATERIALIZED ({_off('SFX', '(SELECT * FROM h3 WHERE crossed)', 's.stem', _AND + ', a.flag AS sflag, a.flags AS sflags, []::VARCHAR[][] AS outers, s.ordinal || [length(a.affix), a.ord] AS ordinal, s.front, [a.affix] AS back')} AND a.crossed)",
+    f"h5 AS MATERIALIZED ({_off('SFX', 'h4', 's.stem', _AND + ', a.flag AS sflag, a.flags AS sflags, [s.sflags] AS outers, s.ordinal || [length(a.affix), a.ord] AS ordinal, s.front, s.back || [a.affix] AS back')} AND a.crossed AND list_contains(a.flags, s.sflag))",
+    "hyp AS MATERIALIZED (" + " UNION ALL ".join(
+        [f"SELECT word, kind, variant, form, {_NO_RULE.format('p')}, {_NO_RULE.format('s')}, []::VARCHAR[][] AS outers, [0] AS ordinal, []::VARCHAR[] AS front, []::VARCHAR[] AS back, form AS stem FROM forms"]
+        + [f"SELECT word, kind, variant, form, pflag, pflags, sflag, sflags, outers, ordinal, front, back, stem FROM h{k}" for k in range(1, 6)]
     ) + ")",
 ])
 _PLAIN_FORMS = "forms AS (SELECT word, 'NO' AS kind, 0 AS variant, word AS form FROM words)"
 
 
-def _lookup_sql(*roles: str, forms: str = _PLAIN_FORMS, base: str = _WORDS, nosuggest: bool = True) -> str:
+def _lookup_sql(*roles: str, forms: str = _PLAIN_FORMS, base: str = _WORDS, nosuggest: bool = True, readings: bool = False) -> str:
     every = "list_concat(d.flags, coalesce(pflags, []), coalesce(sflags, []))"
     affixed = "list_concat(list_filter([pflags, sflags], lambda x: x IS NOT NULL), outers)"
     ok = [f"(pflag IS NULL OR list_contains({every}, pflag))", f"(sflag IS NULL OR list_contains({every}, sflag))"]
@@ -180,7 +199,10 @@ def _lookup_sql(*roles: str, forms: str = _PLAIN_FORMS, base: str = _WORDS, nosu
         cut = ", cut AS (SELECT word, variant, min(ordinal) AS upto FROM hyp JOIN dict d USING (stem) WHERE list_contains(d.flags, 'X') AND len(ordinal) > 1 GROUP BY ALL)"
         banned = " AND word NOT IN (SELECT stem FROM dict WHERE list_contains(flags, 'X'))"
         ok.append("(upto IS NULL OR ordinal < upto)")
-    found = f"SELECT DISTINCT word FROM hyp JOIN dict d USING (stem) {'LEFT JOIN cut USING (word, variant)' if cut else ''} WHERE {' AND '.join(ok)}"
+    source = f"FROM hyp JOIN dict d USING (stem) {'LEFT JOIN cut USING (word, variant)' if cut else ''} WHERE {' AND '.join(ok)}"
+    if readings:
+        return f"WITH {base}, {forms}, {_HYP}{cut} SELECT word, row_number() OVER (PARTITION BY word ORDER BY variant, ordinal) - 1 AS reading, stem AS stems, array_to_string(list_concat([x || '+' for x in front], ['+' || x for x in back]), ' ') AS affixes {source}"
+    found = f"SELECT DISTINCT word {source}"
     return f"WITH {base}, {forms}, {_HYP}{cut}, good AS ({found}) SELECT word, (word IN (SELECT word FROM good)){banned} AS correct FROM (SELECT DISTINCT word FROM words)"
 
 
@@ -256,6 +278,21 @@ def turkic_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_words(spark, sf_dir, lower=False).select("word", F.element_at(casing.turkic_lower(w), 1).alias("lowered"), casing.turkic_upper(w).alias("uppered"))
 
 
+_SHARP = "sharp AS (SELECT DISTINCT replace(word, 'ss', 'ß') AS word FROM raw UNION SELECT replace(upper(word), 'ẞ', 'SS') FROM raw WHERE length(lower(word)) - length(replace(lower(word), 'ss', '')) = 2)"
+_KIND_SHARP = f"CASE WHEN contains(word, 'ß') AND {_KIND.replace('word', 'bare').replace('CASE', '(CASE').replace('END', 'END)')} = 'ALL' THEN 'ALL' ELSE {_KIND} END"
+
+
+@query(f"WITH {_RAW}, {_SHARP}, bared AS (SELECT word, replace(word, 'ß', '') AS bare FROM sharp) SELECT word, {_KIND_SHARP} AS kind, CASE WHEN contains(word, 'SS') THEN replace(lower(word), 'ss', 'ß') || ' ' || lower(word) ELSE lower(word) END AS lowered FROM bared WHERE length(word) - length(replace(word, 'SS', '')) <= 2")
+def german_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with a sharp s for two, and those with one pair of them in capitals: their kind, and what may be meant in lower case."""
+    w = F.col("word")
+    raw = distinct_words(spark, sf_dir, lower=False)
+    low = F.lower(w)
+    capitals = raw.where(F.char_length(low) - F.char_length(F.replace(low, F.lit("ss"), F.lit(""))) == 2).select(F.upper(w).alias("word"))
+    sharp = raw.select(F.replace(w, F.lit("ss"), F.lit("ß")).alias("word")).unionByName(capitals).distinct()
+    return sharp.select("word", casing.kind_german(w).alias("kind"), F.array_join(casing.german_lower(w), " ").alias("lowered")).where(F.char_length(w) - F.char_length(F.replace(w, F.lit("SS"), F.lit(""))) <= 2)
+
+
 # Conversion, numbers, breaks
 
 
@@ -397,19 +434,32 @@ def has_flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return has_flag(asked, heads, "D", for_all=True)
 
 
-@query()
+def _full_sql() -> str:
+    """Parts between dashes of the words of pages, each with its readings in all capitalisations."""
+    pieces = r"pieces AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[\p{L}-]+')) AS whole FROM pages), parts AS (SELECT DISTINCT whole, unnest(string_split(whole, '-')) AS part FROM pieces)"
+    base = f"{_DICT}, {pieces}, raw AS (SELECT DISTINCT part AS word FROM parts WHERE part <> ''), words AS (SELECT word FROM raw), {_LETTER_STEMS}, entry AS (SELECT stem, flags, false AS folded FROM dict UNION ALL SELECT stem, flags, true FROM letter)"
+    good = _lookup_sql(*ROLES, forms=_CASE_FORMS, base=base).rsplit(" SELECT word, ", 1)[0]
+    good = good.replace("good AS (SELECT DISTINCT word FROM hyp JOIN dict d USING (stem)", "good AS (SELECT DISTINCT word FROM hyp JOIN entry d USING (stem)").replace("WHERE (pflag IS NULL", "WHERE (NOT folded OR kind = 'ALL' AND variant = 1) AND (pflag IS NULL", 1)
+    wrong = "SELECT whole FROM parts WHERE part <> '' AND part NOT IN (SELECT word FROM good)"
+    return f"{good} SELECT whole AS word, whole NOT IN ({wrong}) AND whole NOT IN (SELECT stem FROM dict WHERE list_contains(flags, 'X')) AS correct FROM pieces"
+
+
+@query(_full_sql())
 def lookup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything at once, by the kernel: breaks, compounds and all flags, over the words of pages."""
+    """Everything at once, by the kernel: breaks and all flags in all capitalisations, over the words of pages."""
     own = dictionary(spark, sf_dir, *ROLES)
     pieces = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"([\p{L}-]+)"), 1)).alias("word")).distinct()
     return spelled(pieces, own)
 
 
-@query()
+_ASKED = f"{_DICT}, words AS (SELECT DISTINCT unnest({_LETTERS.format('lower(text)')}) AS word FROM benchmark)"
+
+
+@query(_lookup_sql(*ROLES, base=_ASKED, readings=True))
 def forms_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reading of the distinct words of the benchmark."""
+    """Every reading of the distinct words of the benchmark, in order: what a list of words to look up is."""
     found = analysed(distinct_words(spark, sf_dir, "benchmark"), dictionary(spark, sf_dir, *ROLES))
-    return found.select("word", "reading", F.array_join("stems", " ").alias("stems"), F.array_join("affixes", " ").alias("affixes"))
+    return found.select("word", F.col("reading").cast("bigint").alias("reading"), F.array_join("stems", " ").alias("stems"), F.array_join("affixes", " ").alias("affixes"))
 
 
 # Compounds
@@ -457,17 +507,17 @@ ORDINALS_AFF = "COMPOUNDMIN 1\nONLYINCOMPOUND c\nCOMPOUNDRULE 2\nCOMPOUNDRULE n*
 ORDINALS_DIC = "\n".join(["23", "1/n1", "1st/p", "1th/tc", "2nd/p", "2th/tc", "3rd/p", "3th/tc", *(f"{d}/nm" for d in "023456789"), *(f"{d}th/pt" for d in "0456789")])
 
 
-@query(r"WITH n AS (SELECT DISTINCT o_orderkey % 10000 AS k FROM orders), e(ending) AS (VALUES ('st'), ('nd'), ('rd'), ('th'), ('')), w AS (SELECT k || ending AS word FROM n, e) SELECT word, regexp_full_match(word, '[0-9]+|[0-9]*1[0-9]th|([0-9]*[02-9])?(1st|2nd|3rd|[04-9]th)') AS correct FROM w")
+@query(r"WITH n AS (SELECT DISTINCT o_orderkey AS k FROM orders), e(ending) AS (VALUES ('st'), ('nd'), ('rd'), ('th'), ('')), w AS (SELECT k || ending AS word FROM n, e) SELECT word, regexp_full_match(word, '[0-9]+|[0-9]*1[0-9]th|([0-9]*[02-9])?(1st|2nd|3rd|[04-9]th)') AS correct FROM w")
 def compound_rule_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order numbers with every ending of an ordinal."""
-    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10000).cast("string").alias("k")).distinct()
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k")).distinct()
     asked = keys.select(F.explode(F.array(*(F.concat("k", F.lit(e)) for e in ("st", "nd", "rd", "th", "")))).alias("word"))
     return spelled(asked, Dictionary.from_bytes(ORDINALS_AFF.encode(), ORDINALS_DIC.encode()))
 
 
 # Candidates of every distinct word: how many, and a digest of them all in order
 
-_TRY, _KEY = "esianrt", rules()["KEY"]
+_TRY, _KEY = rules()["TRY"], rules()["KEY"]
 _REP = [("f", "ph"), ("ou", "u"), ("tion", "shun")]
 _C = "substr(w, i + 1, 1)"
 
@@ -590,25 +640,65 @@ def ngram_roots_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_roots(_wrong(spark, sf_dir), dictionary(spark, sf_dir), k=10)
 
 
-@query()
+def _all_grams_sql(a: str, b: str, most: str) -> str:
+    """As _grams_sql(), with any most and a penalty for lengths that differ by more than two."""
+    hits = f"[len([i for i in range(1, length({a}) - n + 2) if contains({b}, substr({a}, i, n))]) for n in range(1, {most} + 1)]"
+    upto = f"coalesce(list_min([n for n in range(1, len({hits}) + 1) if {hits}[n] < 2]), {most})"
+    return f"(list_sum({hits}[1:{upto}])::BIGINT - greatest(abs(length({b}) - length({a})) - 2, 0))"
+
+
+def _blotted_sql(start: int) -> str:
+    return f"array_to_string([CASE WHEN i >= {start} AND (i - {start}) % 4 = 0 THEN '*' ELSE word[i + 1] END for i in range(0, length(word))], '')"
+
+
+@query(f"WITH {_WRONG}, b AS (SELECT word, {', '.join(f'{_blotted_sql(k)} AS b{k}' for k in (1, 2, 3))} FROM asked) SELECT word, ({' + '.join(_all_grams_sql('word', f'b{k}', 'length(word)') for k in (1, 2, 3))}) // 3 - 1 AS threshold FROM b")
 def ngram_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wrong(spark, sf_dir).withColumn("threshold", metrics.threshold(F.col("word")))
+    return _wrong(spark, sf_dir).withColumn("threshold", metrics.threshold(F.col("word")).cast("bigint"))
 
 
-@query()
+def _weighted_sql(a: str, b: str) -> str:
+    cost = lambda n: f"list_sum([CASE WHEN contains({b}, substr({a}, i, {n})) THEN 1 WHEN i = 1 OR i + {n} = length({a}) + 1 THEN -2 ELSE -1 END for i in range(1, length({a}) - {n - 2})])"
+    return f"(coalesce({cost(1)}, 0) + coalesce({cost(2)}, 0) - greatest(abs(length({b}) - length({a})) - 2, 0))"
+
+
+_PREFIX = "list_max([i for i in range(0, least(length(word), length(stem)) + 1) if left(word, i) = left(stem, i)])"
+
+
+@query(
+    f"WITH RECURSIVE {_WRONG}, scored AS (SELECT word, stem, {_ROOT} AS score FROM asked JOIN dict ON abs(length(word) - length(stem)) <= 4), "
+    "near AS MATERIALIZED (SELECT word, stem FROM scored QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, stem DESC) <= 10), "
+    "rows AS (SELECT word AS a, stem AS b, 0 AS i, list_transform(range(0, length(stem) + 1), lambda x: 0::BIGINT) AS r FROM near UNION ALL "
+    "SELECT a, b, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda acc, x: list_append(acc, CASE WHEN b[x[1]] = a[i + 1] THEN r[x[1]] + 1 ELSE greatest(r[x[1] + 1], acc[-1]) END)) FROM rows WHERE i < length(a)), "
+    f"parts AS (SELECT word, stem, {_all_grams_sql('word', 'stem', 'length(word)')} + {_PREFIX} AS rough, r[-1] AS common, {_PREFIX} AS same, {_weighted_sql('word', 'stem')} + {_weighted_sql('stem', 'word')} AS pairs, "
+    f"{_all_grams_sql('word', 'stem', '4')} AS four, len([i for i in range(1, least(length(word), length(stem)) + 1) if word[i] = stem[i]]) > 0 AS place FROM near JOIN rows ON word = a AND stem = b AND i = length(word)) "
+    "SELECT word, stem, rough, (CASE WHEN length(word) = length(stem) AND common = length(word) THEN rough + 2000 ELSE 2 * common - abs(length(word) - length(stem)) + same + place::INT + four + pairs - CASE WHEN pairs < length(word) + length(stem) THEN 1000 ELSE 0 END END)::BIGINT AS score FROM parts"
+)
 def ngram_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest stems of each wrong word, scored in full."""
     w, s = F.col("word"), F.col("stem")
-    rough = nearest_roots(_wrong(spark, sf_dir), dictionary(spark, sf_dir), k=10).select("word", "stem", metrics.rough_score(w, s).alias("rough"))
-    return rough.select("word", "stem", "rough", metrics.precise_score(w, s, F.col("rough")).alias("score"))
+    rough = nearest_roots(_wrong(spark, sf_dir), dictionary(spark, sf_dir), k=10).select("word", "stem", metrics.rough_score(w, s).cast("bigint").alias("rough"))
+    return rough.select("word", "stem", "rough", metrics.precise_score(w, s, F.col("rough")).cast("bigint").alias("score"))
 
 
 # Corrections
 
 
-@query()
+#: Candidates of slips() in order, but for capitals and splits: no stem or affix holds any capital, space or dash.
+_SLIPS = {"edit_rep": (1, "replchars"), "edit_map": (3, "mapchars"), "edit_swap": (4, "swapchar"), "edit_longswap": (5, "longswapchar"), "edit_key": (6, "badcharkey"), "edit_extra": (7, "extrachar"), "edit_forgot": (8, "forgotchar"), "edit_move": (9, "movechar"), "edit_bad": (10, "badchar"), "edit_double": (11, "doubletwochars")}
+_TRIED_SQL = " UNION ALL ".join(
+    f"SELECT w, {rank} AS rank, '{kind}' AS kind, unnest(c) AS text, unnest(range(0, len(c))) AS place FROM (SELECT w, {_EDIT_SQL[name] if name in _EDIT_SQL else f'CASE WHEN length(w) > 1 THEN list_concat({_MAP_SQL}) ELSE []::VARCHAR[] END'} AS c FROM (SELECT word AS w FROM asked))"
+    for name, (rank, kind) in _SLIPS.items()
+)
+
+
+@query(
+    f"WITH {_WRONG}, tried AS MATERIALIZED (SELECT w AS word, text, arg_min(kind, (rank, place)) AS kind, min((rank, place)) AS spot FROM ({_TRIED_SQL}) GROUP BY ALL), "
+    + _lookup_sql("NOSUGGEST", forms="forms AS (SELECT DISTINCT text AS word, 'NO' AS kind, 0 AS variant, text AS form FROM tried)", base="X", nosuggest=False).removeprefix("WITH X, ").rsplit(" SELECT word, ", 1)[0]
+    + " SELECT word, (row_number() OVER (PARTITION BY word ORDER BY spot) - 1) AS ordinal, kind, text FROM tried WHERE text IN (SELECT word FROM good) QUALIFY ordinal <= 15"
+)
 def suggest_edits_firstwins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slips(_wrong(spark, sf_dir), words(spark, sf_dir), affixes(spark), rules("NOSUGGEST"))
+    found = slips(_wrong(spark, sf_dir), words(spark, sf_dir), affixes(spark), rules("NOSUGGEST"))
+    return found.withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 @query(f"WITH {_WRONG}, cut AS (SELECT word, unnest(range(1, length(word))) AS k FROM asked) SELECT word, left(word, k) || ' ' || substr(word, k + 1) AS suggestion FROM cut WHERE left(word, k) IN (SELECT stem FROM dict) AND substr(word, k + 1) IN (SELECT stem FROM dict)")
@@ -629,7 +719,14 @@ def suggest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 PHONE_AFF = "SET UTF-8\nPHONE 9\nPHONE AH(AEIOUY)-^ *H\nPHONE TH 0\nPHONE SH X\nPHONE CH X\nPHONE E$ _\nPHONE E *\nPHONE N N\nPHONE R R\nPHONE T T\n"
 
 
-@query()
+_SOUND = [("spot = 0 AND regexp_matches(u, '^AH[AEIOUY]')", "*H", 2), *((f"substr(u, spot + 1, 2) = '{x}'", y, 2) for x, y in (("TH", "0"), ("SH", "X"), ("CH", "X"))), ("substr(u, spot + 1) = 'E'", "", 1), ("u[spot + 1] = 'E'", "*", 1), *((f"u[spot + 1] = '{x}'", x, 1) for x in "NRT")]
+
+
+@query(
+    f"WITH RECURSIVE {_DICT}, state AS (SELECT stem, {_UP.format('stem')} AS u, 0 AS spot, '' AS code FROM dict UNION ALL "
+    f"SELECT stem, u, spot + CASE {' '.join(f'WHEN {when} THEN {n}' for when, _, n in _SOUND)} ELSE 1 END, code || CASE {' '.join(f'WHEN {when} THEN {_quoted(sound)}' for when, sound, _ in _SOUND)} ELSE '' END FROM state WHERE spot < length(u)) "
+    "SELECT stem AS word, code FROM state WHERE spot >= length(u)"
+)
 def metaphone_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phonetic_codes(words(spark, sf_dir).select(F.col("stem").alias("word")), Dictionary.from_bytes(PHONE_AFF.encode(), b"0\n"))
 

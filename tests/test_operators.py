@@ -173,3 +173,35 @@ def test_contract(spark):
 
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_costly_words_are_dealt_out(spark, own):
+    """A few words in one partition reach many tasks, and null words have no row of suggestions."""
+    df = spark.createDataFrame([(f"plan{k}",) for k in range(200)] + [(None,)], "word string").coalesce(1)
+    made = correct.suggestions(df, own).withColumn("task", F.spark_partition_id())
+    assert made.select("task").distinct().count() > 4 and made.where("word is null").count() == 0
+
+
+def test_tokens_are_read_once(spark):
+    """Words and dictionary of a query come from one exchange."""
+    for name in ("lookup_base", "lookup_affix"):
+        df = queries.QUERIES[name](spark, SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("ReusedExchange") or plan.count("Generate") == 1, plan
+
+
+def test_mapped_goes_on_behind_each_change():
+    def by_definition(w, start=0):
+        """Each change of a first spelling, then what changes further on make of it."""
+        for options in sets if len(w) > 1 else ():
+            for one, other in ((x, y) for x in options for y in options if x != y):
+                at = w.find(one, start)
+                if at >= 0:
+                    text = w[:at] + other + w[at + len(one) :]
+                    yield text
+                    yield from by_definition(text, at + 1)
+
+    for sets in ([["a", "à"], ["b", "ß"]], [["a", "ä", "â"]], [["ab", "x"], ["b", "c"]], []):
+        for w in ("abab", "a", "", "xbab", "baab", "äâa"):
+            assert list(candidates.mapped(w, sets)) == list(by_definition(w)), (w, sets)
