@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dictspark.plans.corpus import spread as spread
+
 _OWN_DIR: dict[str, str] = {}
 _SCRATCH: dict[str, list[str]] = {}
 #: Bytes of text that a Python worker looks at in one go.
@@ -92,15 +94,6 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """docs, dealt out anew where a plain scan has fewer tasks than there are cores: work in Python would leave cores idle."""
-    plan = docs._jdf.queryExecution()
-    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan":  # holds a shuffle, and would run here
-        return docs
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(2 * cores) if plan.toRdd().getNumPartitions() < cores else docs
-
-
 def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about most bytes in column number text; a row is never cut."""
     for batch in batches:
