@@ -18,6 +18,11 @@ _BSD = "Redistribution and use in source and binary forms, with or without modif
 _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 
+_UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
+_BOOST = "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+
+# Fixed values from here on: the wording of licences.
 #: Known texts: whole licences and the notices by which works name one.
 LICENSES: list[tuple[str, str]] = [
     ("MIT", f"MIT License\n\n{_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_AS_IS}"),
@@ -27,6 +32,11 @@ LICENSES: list[tuple[str, str]] = [
     ("0BSD", f"{_ISC}.\n\n{_ISC_END}"),
     ("BSD-2-Clause", f"{_BSD}\n\n{_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD}\n\n{_BSD_3}\n\n{_BSD_END}"),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", f"{_UNLICENSE}\n\nFor more information, please refer to <https://unlicense.org>"),
+    ("Zlib", _ZLIB),
+    ("Zlib", f"zlib License\n\n{_ZLIB}"),
+    ("BSL-1.0", _BOOST),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -41,12 +51,49 @@ EQUIVALENT = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "organisation": "organization", "authorised": "authorized", "favour": "favor",
     "acknowledgement": "acknowledgment", "copyright holder s": "copyright holders", "non commercial": "noncommercial", "noninfringement": "non infringement", "per cent": "percent", "whilst": "while", "http": "https",
 }
-_COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|copr\.)[ \t]*(\(c\)|©|[0-9])[^\n]*|(^|\n)[ \t]*(all rights reserved\.?)[ \t]*(\n|$)"
+#: Lines that only say whose work it is: a year or a mark behind the word, a mark before a year, or a paragraph of one such line.
+_COPYRIGHT = (
+    r"(^|\n)[^a-z0-9\n]*(copyright|copr\.)[ \t]*(\(c\)|©|[0-9])[^\n]*|(^|\n)[^a-z0-9\n]*(\(c\)|©)[ \t]*[0-9][0-9][0-9][0-9][^\n]*"
+    r"|(^|\n[ \t]*\n)[^a-z0-9\n]*copyright[ \t][^\n]*(\n[ \t]*\n|$)|(^|\n)[ \t]*(all rights reserved\.?)[ \t]*(\n|$)"
+)
+#: Where systems keep whole licences; DIGESTS were made of these texts by canonical().
+PUBLISHED = "/usr/share/common-licenses"
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+# SHA-256 of the canonical forms of long licences, whole and, where they end in advice on their use, without it.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "ef9aa6097e8b8724e8bedf9a9a264cbc3142b55ef97f3c3f079b7aa1aeac425c"),
+    ("Apache-2.0", "65bfb6f56a10dc6dd6135cf4adeee0f5bc238b3d404067ac48dbf48c0ced3b32"),
+    ("Apache-2.0", "ed44d69699f98d45c0c3e52ef4574fb05d6045eb6e2cd0e5e3810f6177e87f84"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13"),
+]
 
 
 def canonical(text: str | None) -> str:
     """The canonical form in Python: one space between words, no punctuation, no copyright lines, one spelling."""
-    out = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\r", "\n")
+    out = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\r\n", "\n").replace("\r", "\n")
     out = re.sub(_COPYRIGHT, "\n", out)
     out = " " + re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", out).replace(" ", "  ").strip(" ") + " "
     for one, other in EQUIVALENT.items():
@@ -56,8 +103,8 @@ def canonical(text: str | None) -> str:
 
 def canonical_column(text: Column) -> Column:
     """canonical() in built-in functions; only texts that have an odd spelling are searched for it."""
-    out = F.translate(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "\r", "\n")
-    out = F.when(F.contains(out, F.lit("cop")) | F.contains(out, F.lit("rights")), F.regexp_replace(out, _COPYRIGHT, "\n")).otherwise(out)
+    out = F.translate(F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "\r", "\n")
+    out = F.when(F.contains(out, F.lit("cop")) | F.contains(out, F.lit("rights")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("©")), F.regexp_replace(out, _COPYRIGHT, "\n")).otherwise(out)
     out = F.concat(F.lit(" "), F.trim(F.replace(F.regexp_replace(out, "[^a-z0-9\\x{80}-\\x{10ffff}]+", " "), F.lit(" "), F.lit("  "))), F.lit(" "))
     for one, other in EQUIVALENT.items():
         out = F.replace(out, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other.replace(' ', '  ')} "))
@@ -65,8 +112,8 @@ def canonical_column(text: Column) -> Column:
 
 
 def digests(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """(sha256 of the canonical form, licence), one of each."""
-    found: dict[str, str] = {}
+    """(sha256 of the canonical form, licence), one of each; DIGESTS among them."""
+    found: dict[str, str] = {digest: name for name, digest in DIGESTS}
     for name, text in texts:
         if canonical(text):
             found.setdefault(hashlib.sha256(canonical(text).encode()).hexdigest(), name)
@@ -87,7 +134,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
 
 
 def _sql() -> str:
-    lower = "replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(13), chr(10))"
+    lower = "replace(translate(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(13), chr(10))"
     out = f"regexp_replace({lower}, '{_COPYRIGHT}', chr(10), 'g')"
     out = f"' ' || trim(replace(regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10ffff}}]+', ' ', 'g'), ' ', '  '), ' ') || ' '"
     for one, other in EQUIVALENT.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import re
 import time
 import zlib
@@ -302,6 +303,34 @@ def test_license_texts(spark):
     assert len({r["digest"] for r in got[5:]}) == 1
 
 
+@pytest.mark.skipif(not os.path.isdir(licenses.PUBLISHED), reason="no licences on this system")
+def test_published_licenses(spark):
+    """Whole texts as systems publish them, reflowed, in capitals and with an owner's line; without the advice at the end."""
+    want, texts = {}, []
+    for name in ("Apache-2.0", "CC0-1.0", "GFDL-1.3", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-1.1", "MPL-2.0"):
+        with open(f"{licenses.PUBLISHED}/{name}", encoding="utf-8", errors="replace") as f:
+            text = f.read()
+        own = name if "-" in name and "." in name else f"{name}.0"
+        for x in (text, text.upper(), "Copyright 2020 Some Person\n\n" + text, text.split(licenses.END_OF_TERMS)[0], text.replace("\n", "\r\n")):
+            want[len(texts)] = own
+            texts.append(x)
+        want[len(texts)] = None
+        texts.append(text + " and more")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs_of(spark, *texts)).collect()}
+    assert got == want
+
+
+def test_license_of_every_known_text(spark):
+    owners = ["", "Copyright (c) 2020 A. Person\n\n", "(c) 1999 X Ltd.\n", "Copyright Jane Doe\n\n", "© 2001-2003 Y\nAll rights reserved.\n"]
+    texts = [(name, owner + text) for name, text in licenses.LICENSES for owner in owners]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs_of(spark, *(t for _, t in texts))).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(texts)}
+
+
+def test_licenses_of_no_rows(none):
+    assert licenses.scan(none).count() == 0
+
+
 def test_license_forms_agree(spark, odd):
     rows = odd.select("text", licenses.canonical_column(F.col("text")).alias("c")).collect()
     assert all(r["c"] == licenses.canonical(r["text"]) for r in rows) and licenses.scan(odd).count() == odd.count()
