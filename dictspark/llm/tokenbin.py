@@ -56,7 +56,7 @@ _BEFORE = {
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b if b in _PRINTED else 256 + b - sum(p < b for p in _PRINTED)) for b in range(256)}
 #: Words that are remembered.
-_WORDS = 400_000
+_WORDS = 800_000
 
 
 class Encoder:
