@@ -92,12 +92,13 @@ def checked(df: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rules, w
     return tried.groupBy("word").agg(out.alias("correct"))
 
 
-def spelled(df: DataFrame, dictionary: Dictionary, column: str = "word", into: str = "correct") -> DataFrame:
+def spelled(df: DataFrame, dictionary: Dictionary, column: str = "word", into: str = "correct", costly: bool = False) -> DataFrame:
     """df with a boolean column: whether a word is right, by everything that the dictionary says.
 
-    No shuffle: the dictionary, whose size is checked, goes to the executors, and each task remembers words.
+    No shuffle: the dictionary, whose size is checked, goes to the executors, and each task remembers words. costly: for
+    distinct words, or rules that take long, which are dealt out evenly first.
     """
-    return by_word(df, column, dictionary, [(into, "boolean", pa.bool_())], lambda d, w: (d.lookup(w),))
+    return by_word(df, column, dictionary, [(into, "boolean", pa.bool_())], lambda d, w: (d.lookup(w),), costly=costly)
 
 
 def analysed(df: DataFrame, dictionary: Dictionary, column: str = "word") -> DataFrame:

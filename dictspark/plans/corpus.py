@@ -1,11 +1,11 @@
 """Corpus reports: tokens are counted before anything else, so that each distinct word is looked at once.
 
-Counts are read twice, to check the words and to sum up; they are kept (in memory or on disk) so that texts are read once.
+Counts are used twice, to check the words and to sum up. Both sides ask for the count, so that they have one exchange
+and texts are read once; nothing is cached.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +36,13 @@ def token_counts(docs: DataFrame, *by: str, text: str = "text", lower: bool = Tr
 
 def error_rates(docs: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rules, *by: str, text: str = "text") -> DataFrame:
     """(by..., tokens, good): tokens and right tokens of docs."""
-    counts = token_counts(docs, *by, text=text).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = token_counts(spread(docs), *by, text=text).where("count > 0")
     joined = counts.join(checked(counts, words, affixes, rules), "word")
     return joined.groupBy(*by).agg(F.sum("count").alias("tokens"), F.sum(F.when(F.col("correct"), F.col("count")).otherwise(0)).alias("good"))
 
 
 def top_misspellings(docs: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rules, k: int = 100, text: str = "text") -> DataFrame:
     """(word, count): the k most frequent wrong words, ties by word."""
-    counts = token_counts(docs, text=text).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = token_counts(spread(docs), text=text).where("count > 0")
     wrong = checked(counts, words, affixes, rules).where("not correct").select("word")
     return counts.join(wrong, "word").orderBy(F.desc("count"), "word").limit(k)

@@ -449,7 +449,7 @@ def lookup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything at once, by the kernel: breaks and all flags in all capitalisations, over the words of pages."""
     own = dictionary(spark, sf_dir, *ROLES)
     pieces = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"([\p{L}-]+)"), 1)).alias("word")).distinct()
-    return spelled(pieces, own)
+    return spelled(pieces, own, costly=True)
 
 
 _ASKED = f"{_DICT}, words AS (SELECT DISTINCT unnest({_LETTERS.format('lower(text)')}) AS word FROM benchmark)"
@@ -512,7 +512,7 @@ def compound_rule_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order numbers with every ending of an ordinal."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k")).distinct()
     asked = keys.select(F.explode(F.array(*(F.concat("k", F.lit(e)) for e in ("st", "nd", "rd", "th", "")))).alias("word"))
-    return spelled(asked, Dictionary.from_bytes(ORDINALS_AFF.encode(), ORDINALS_DIC.encode()))
+    return spelled(asked, Dictionary.from_bytes(ORDINALS_AFF.encode(), ORDINALS_DIC.encode()), costly=True)
 
 
 # Candidates of every distinct word: how many, and a digest of them all in order
