@@ -6,6 +6,6 @@ from dictspark.operators.correct import slips, suggestions
 from dictspark.operators.expand import expanded
 from dictspark.operators.lookup import checked, readings
 from dictspark.operators.probe import has_flag, homonyms
-from dictspark.operators.similar import nearest_roots
+from dictspark.operators.similar import alike, nearest_roots
 
-__all__ = ["checked", "compounds", "expanded", "has_flag", "homonyms", "hypotheses", "nearest_roots", "readings", "slips", "stripped", "suggestions"]
+__all__ = ["alike", "checked", "compounds", "expanded", "has_flag", "homonyms", "hypotheses", "nearest_roots", "readings", "slips", "stripped", "suggestions"]

@@ -16,7 +16,7 @@ from dictspark.operators.correct import slips, suggestions
 from dictspark.operators.expand import expanded
 from dictspark.operators.lookup import analysed, checked, spelled
 from dictspark.operators.probe import has_flag, homonyms
-from dictspark.operators.similar import nearest_roots
+from dictspark.operators.similar import alike, nearest_roots
 from dictspark.plans.corpus import error_rates, spread, table_tokens, token_counts, top_misspellings
 from dictspark.sources.affdic import parse_rules
 from dictspark.sources.dictionary import Dictionary
@@ -651,7 +651,10 @@ def _blotted_sql(start: int) -> str:
     return f"array_to_string([CASE WHEN i >= {start} AND (i - {start}) % 4 = 0 THEN '*' ELSE word[i + 1] END for i in range(0, length(word))], '')"
 
 
-@query(f"WITH {_WRONG}, b AS (SELECT word, {', '.join(f'{_blotted_sql(k)} AS b{k}' for k in (1, 2, 3))} FROM asked) SELECT word, ({' + '.join(_all_grams_sql('word', f'b{k}', 'length(word)') for k in (1, 2, 3))}) // 3 - 1 AS threshold FROM b")
+_LEAST = f"b AS (SELECT word, {', '.join(f'{_blotted_sql(k)} AS b{k}' for k in (1, 2, 3))} FROM asked), least AS (SELECT word, ({' + '.join(_all_grams_sql('word', f'b{k}', 'length(word)') for k in (1, 2, 3))}) // 3 - 1 AS threshold FROM b)"
+
+
+@query(f"WITH {_WRONG}, {_LEAST} SELECT word, threshold FROM least")
 def ngram_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wrong(spark, sf_dir).withColumn("threshold", metrics.threshold(F.col("word")).cast("bigint"))
 
@@ -664,14 +667,29 @@ def _weighted_sql(a: str, b: str) -> str:
 _PREFIX = "list_max([i for i in range(0, least(length(word), length(stem)) + 1) if left(word, i) = left(stem, i)])"
 
 
+def _common_sql(source: str) -> str:
+    """rows: of (word, stem) in source as (a, b), row i of the table whose last number is the length of what they have in common."""
+    return (
+        f"rows AS (SELECT word AS a, stem AS b, 0 AS i, list_transform(range(0, length(stem) + 1), lambda x: 0::BIGINT) AS r FROM (SELECT DISTINCT word, stem FROM {source}) UNION ALL "
+        "SELECT a, b, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda acc, x: list_append(acc, CASE WHEN b[x[1]] = a[i + 1] THEN r[x[1]] + 1 ELSE greatest(r[x[1] + 1], acc[-1]) END)) FROM rows WHERE i < length(a))"
+    )
+
+
+def _parts_sql(source: str) -> str:
+    return (
+        f"parts AS (SELECT word, stem, {_all_grams_sql('word', 'stem', 'length(word)')} + {_PREFIX} AS rough, r[-1] AS common, {_PREFIX} AS same, {_weighted_sql('word', 'stem')} + {_weighted_sql('stem', 'word')} AS pairs, "
+        f"{_all_grams_sql('word', 'stem', '4')} AS four, len([i for i in range(1, least(length(word), length(stem)) + 1) if word[i] = stem[i]]) > 0 AS place FROM {source} JOIN rows ON word = a AND stem = b AND i = length(word))"
+    )
+
+
+_PRECISE = "(CASE WHEN length(word) = length(stem) AND common = length(word) THEN rough + 2000 ELSE 2 * common - abs(length(word) - length(stem)) + same + place::INT + four + pairs - CASE WHEN pairs < length(word) + length(stem) THEN 1000 ELSE 0 END END)::BIGINT"
+
+
 @query(
     f"WITH RECURSIVE {_WRONG}, scored AS (SELECT word, stem, {_ROOT} AS score FROM asked JOIN dict ON abs(length(word) - length(stem)) <= 4), "
     "near AS MATERIALIZED (SELECT word, stem FROM scored QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, stem DESC) <= 10), "
-    "rows AS (SELECT word AS a, stem AS b, 0 AS i, list_transform(range(0, length(stem) + 1), lambda x: 0::BIGINT) AS r FROM near UNION ALL "
-    "SELECT a, b, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda acc, x: list_append(acc, CASE WHEN b[x[1]] = a[i + 1] THEN r[x[1]] + 1 ELSE greatest(r[x[1] + 1], acc[-1]) END)) FROM rows WHERE i < length(a)), "
-    f"parts AS (SELECT word, stem, {_all_grams_sql('word', 'stem', 'length(word)')} + {_PREFIX} AS rough, r[-1] AS common, {_PREFIX} AS same, {_weighted_sql('word', 'stem')} + {_weighted_sql('stem', 'word')} AS pairs, "
-    f"{_all_grams_sql('word', 'stem', '4')} AS four, len([i for i in range(1, least(length(word), length(stem)) + 1) if word[i] = stem[i]]) > 0 AS place FROM near JOIN rows ON word = a AND stem = b AND i = length(word)) "
-    "SELECT word, stem, rough, (CASE WHEN length(word) = length(stem) AND common = length(word) THEN rough + 2000 ELSE 2 * common - abs(length(word) - length(stem)) + same + place::INT + four + pairs - CASE WHEN pairs < length(word) + length(stem) THEN 1000 ELSE 0 END END)::BIGINT AS score FROM parts"
+    f"{_common_sql('near')}, "
+    f"{_parts_sql('near')} SELECT word, stem, rough, {_PRECISE} AS score FROM parts"
 )
 def ngram_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest stems of each wrong word, scored in full."""
@@ -680,6 +698,30 @@ def ngram_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rough.select("word", "stem", "rough", metrics.precise_score(w, s, F.col("rough")).cast("bigint").alias("score"))
 
 
+_BY_ROOT = f"scored AS (SELECT word, stem, flags, {_ROOT} AS score FROM asked JOIN dict ON abs(length(word) - length(stem)) <= 4)"
+
+
+def _formed(kind: str, source: str, held: str, made: str, also: str = "true") -> str:
+    """Forms of source's stems by affixes that the word could have too."""
+    fits = "'(?:' || a.condition || ')$') AND ends_with(word, a.affix)" if kind == "SFX" else "'^(?:' || a.condition || ')') AND starts_with(word, a.affix)"
+    return f"SELECT word, s.stem, s.flags, {made} AS form, a.crossed FROM {source} s JOIN affixes a ON a.kind = '{kind}' AND list_contains(s.flags, a.flag) WHERE regexp_matches({held}, {fits} AND {also}"
+
+
+@query(
+    f"WITH RECURSIVE {_WRONG}, {_affix_rows()}, {_LEAST}, {_BY_ROOT}, near AS MATERIALIZED (SELECT word, stem, flags FROM scored QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, stem DESC) <= 100), "
+    f"suf AS ({_formed('SFX', 'near', 's.stem', 'left(s.stem, length(s.stem) - length(a.strip)) || a.affix')}), pre AS ({_formed('PFX', 'near', 's.stem', 'a.affix || substr(s.stem, length(a.strip) + 1)')}), "
+    f"two AS ({_formed('PFX', 'suf', 's.stem', 'a.affix || substr(s.form, length(a.strip) + 1)', 'a.crossed AND s.crossed')}), "
+    "forms AS MATERIALIZED (SELECT word, form AS stem FROM (SELECT word, stem AS form FROM near UNION ALL SELECT word, form FROM suf UNION ALL SELECT word, form FROM two UNION ALL SELECT word, form FROM pre)), "
+    f"guesses AS MATERIALIZED (SELECT word, stem, {_all_grams_sql('word', 'stem', 'length(word)')} + {_PREFIX} AS rough FROM forms JOIN least USING (word) WHERE {_all_grams_sql('word', 'stem', 'length(word)')} + {_PREFIX} > threshold QUALIFY row_number() OVER (PARTITION BY word ORDER BY rough DESC, stem DESC) <= 200), "
+    f"{_common_sql('guesses')}, {_parts_sql('guesses')}, ranked AS (SELECT word, stem, {_PRECISE} AS score, rough FROM parts), "
+    "ordered AS (SELECT word, stem, score, row_number() OVER (PARTITION BY word ORDER BY score DESC, rough DESC, stem DESC) - 1 AS ordinal, max(score) OVER (PARTITION BY word) AS best FROM ranked) "
+    "SELECT word, ordinal, stem AS suggestion FROM ordered WHERE CASE WHEN best > 1000 THEN score > 1000 WHEN best >= -100 THEN score >= -100 ELSE ordinal = 0 END"
+)
+def suggest_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form that looks like each wrong word, in order."""
+    return alike(_wrong(spark, sf_dir), dictionary(spark, sf_dir))
+
+
 # Corrections
 
 
@@ -722,15 +764,37 @@ PHONE_AFF = "SET UTF-8\nPHONE 9\nPHONE AH(AEIOUY)-^ *H\nPHONE TH 0\nPHONE SH X\n
 _SOUND = [("spot = 0 AND regexp_matches(u, '^AH[AEIOUY]')", "*H", 2), *((f"substr(u, spot + 1, 2) = '{x}'", y, 2) for x, y in (("TH", "0"), ("SH", "X"), ("CH", "X"))), ("substr(u, spot + 1) = 'E'", "", 1), ("u[spot + 1] = 'E'", "*", 1), *((f"u[spot + 1] = '{x}'", x, 1) for x in "NRT")]
 
 
-@query(
-    f"WITH RECURSIVE {_DICT}, state AS (SELECT stem, {_UP.format('stem')} AS u, 0 AS spot, '' AS code FROM dict UNION ALL "
-    f"SELECT stem, u, spot + CASE {' '.join(f'WHEN {when} THEN {n}' for when, _, n in _SOUND)} ELSE 1 END, code || CASE {' '.join(f'WHEN {when} THEN {_quoted(sound)}' for when, sound, _ in _SOUND)} ELSE '' END FROM state WHERE spot < length(u)) "
-    "SELECT stem AS word, code FROM state WHERE spot >= length(u)"
-)
+def _codes_sql(source: str, word: str) -> str:
+    """codes: (stem, code) of the words of source."""
+    return (
+        f"state AS (SELECT {word} AS stem, {_UP.format(word)} AS u, 0 AS spot, '' AS code FROM {source} UNION ALL "
+        f"SELECT stem, u, spot + CASE {' '.join(f'WHEN {when} THEN {n}' for when, _, n in _SOUND)} ELSE 1 END, code || CASE {' '.join(f'WHEN {when} THEN {_quoted(sound)}' for when, sound, _ in _SOUND)} ELSE '' END FROM state WHERE spot < length(u)), "
+        "codes AS MATERIALIZED (SELECT stem, code FROM state WHERE spot >= length(u))"
+    )
+
+
+@query(f"WITH RECURSIVE {_DICT}, {_codes_sql('dict', 'stem')} SELECT stem AS word, code FROM codes")
 def metaphone_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phonetic_codes(words(spark, sf_dir).select(F.col("stem").alias("word")), Dictionary.from_bytes(PHONE_AFF.encode(), b"0\n"))
 
 
+_LIKE_SOUND = f"2 * ({_grams_sql('x.code', 'y.code', 3)} - greatest(length(y.code) - length(x.code) - 2, 0))"
+
+
+@query(
+    f"WITH RECURSIVE {_WRONG}, every AS (SELECT stem FROM dict UNION SELECT word FROM asked), {_codes_sql('every', 'stem')}, "
+    f"heard AS (SELECT word, d.stem, {_LIKE_SOUND} AS sound FROM asked JOIN dict d ON abs(length(word) - length(d.stem)) <= 3 JOIN codes x ON x.stem = word JOIN codes y ON y.stem = d.stem WHERE {_ROOT.replace('stem', 'd.stem')} > 2), "
+    "near AS MATERIALIZED (SELECT word, stem, sound FROM heard QUALIFY row_number() OVER (PARTITION BY word ORDER BY sound DESC, stem DESC) <= 100), "
+    f"{_common_sql('near')} SELECT word, row_number() OVER (PARTITION BY word ORDER BY sound + 2 * r[-1] - abs(length(word) - length(stem)) + {_PREFIX} DESC, sound DESC, stem DESC) - 1 AS ordinal, stem AS suggestion "
+    "FROM near JOIN rows ON word = a AND stem = b AND i = length(word)"
+)
+def suggest_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred stems that sound most like each wrong word, in order."""
+    own = dictionary(spark, sf_dir)
+    own.rules.phone = parse_rules(PHONE_AFF.encode()).phone
+    return alike(_wrong(spark, sf_dir), own, sounds=True)
+
+
 # Expansion
 
 
