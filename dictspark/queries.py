@@ -11,7 +11,7 @@ from dictspark.functions import casing, edits, metrics, text
 from dictspark.kernel.rules import Rules
 from dictspark.operators.affix import hypotheses, stripped
 from dictspark.operators.compound import compounds
-from dictspark.operators.convert import converted, phonetic_codes
+from dictspark.operators.convert import breakings, converted, phonetic_codes
 from dictspark.operators.correct import slips, suggestions
 from dictspark.operators.expand import expanded
 from dictspark.operators.lookup import analysed, checked, spelled
@@ -20,6 +20,7 @@ from dictspark.operators.similar import alike, nearest_roots
 from dictspark.plans.corpus import error_rates, spread, table_tokens, token_counts, top_misspellings
 from dictspark.sources.affdic import parse_rules
 from dictspark.sources.dictionary import Dictionary
+from dictspark.sources.lines import misspellings_of, parsed_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,18 +105,20 @@ def affixes(spark: SparkSession) -> DataFrame:
     return Dictionary(rules(), []).affixes(spark)
 
 
-def dictionary(spark: SparkSession, sf_dir: str, *roles: str) -> Dictionary:
-    """The stems as a Dictionary: an .aff and a .dic text like any other. Their number is checked before they are fetched."""
-    found = stems(spark, sf_dir).persist()
+def fetched(stems: DataFrame, flags: Column, aff: str) -> Dictionary:
+    """Stems with flags (a text) as a Dictionary: an .aff and a .dic text like any other. Their number is checked before they are fetched."""
+    found = stems.select("stem", F.concat_ws("/", "stem", F.when(flags != "", flags)).alias("line")).persist()
     if (n := found.count()) > MOST_STEMS:
         raise ValueError(f"{n} stems are too many for one process; join with words() and affixes() instead")
-    rows = found.orderBy("stem").select(F.concat_ws("/", "stem", F.array_join("flags", "")).alias("line"))
-    lines = [r["line"] for r in rows.toLocalIterator()]
+    lines = [r["line"] for r in found.orderBy("stem").select("line").toLocalIterator()]
     found.unpersist()
-    aff = "SET UTF-8\n" + AFF + "".join(f"{role} {ROLES[role]}\n" for role in roles)
     return Dictionary.from_bytes(aff.encode(), "\n".join([str(len(lines)), *lines]).encode())
 
 
+def dictionary(spark: SparkSession, sf_dir: str, *roles: str) -> Dictionary:
+    return fetched(stems(spark, sf_dir), F.array_join("flags", ""), "SET UTF-8\n" + AFF + "".join(f"{role} {ROLES[role]}\n" for role in roles))
+
+
 def distinct_words(spark: SparkSession, sf_dir: str, name: str = "documents", lower: bool = True) -> DataFrame:
     if name == "documents" and lower:
         return vocabulary(spark, sf_dir).select("word")
@@ -319,6 +322,56 @@ def iconv_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(distinct_words(spark, sf_dir), own)
 
 
+@query(
+    r"WITH RECURSIVE host AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS word FROM pages), cut AS (SELECT word, word AS rest, []::VARCHAR[] AS parts FROM host UNION ALL "
+    "SELECT word, substr(rest, k + 1), list_append(parts, left(rest, k - 1)) FROM (SELECT *, unnest(range(2, length(rest))) AS k FROM cut) WHERE substr(rest, k, 1) IN ('.', 'a')) "
+    "SELECT word, array_to_string(list_append(parts, rest), ' ') AS parts FROM cut"
+)
+def breakings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way to break host names at points and, as they hold few of those, at the letter a."""
+    own = Dictionary.from_bytes(b"SET UTF-8\nBREAK 2\nBREAK .\nBREAK a\n", b"0\n")
+    hosts = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("word")).distinct()
+    return breakings(hosts, own).select("word", F.array_join("parts", " ").alias("parts"))
+
+
+# Rules
+
+
+#: Lines of a word list as expressions that are valid in Spark SQL and in DuckDB: flags, tags, misspellings of both kinds.
+_LINE = "stem || '/' || flags || chr(9) || 'po:' || CASE WHEN c % 3 = 0 THEN 'noun' ELSE 'verb' END || CASE WHEN length(stem) % 5 = 0 THEN ' ph:' || reverse(stem) ELSE '' END || CASE WHEN length(stem) % 4 = 1 THEN ' ph:' || stem || 'e*' ELSE '' END"
+
+
+@query(
+    f"WITH {_DICT}, line AS (SELECT {_LINE} AS line FROM (SELECT stem, c, array_to_string(flags, '') AS flags FROM dict)), "
+    r"read AS (SELECT regexp_extract(line, '^([^/]+)', 1) AS stem, regexp_extract(line, '/(\w*)', 1) AS flags, regexp_extract(line, '\tpo:(\w+)', 1) AS po, regexp_extract_all(line, ' ph:([^ ]+)', 1) AS ph FROM line) "
+    "SELECT stem, array_to_string(list_sort(string_split(flags, '')), '') AS flags, po, array_to_string(list_filter(ph, lambda x: NOT ends_with(x, '*')), ' ') AS spellings FROM read"
+)
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary written as lines of a word list and read again."""
+    lines = stems(spark, sf_dir).withColumn("flags", F.array_join("flags", "")).select(F.xxhash64("stem").alias("line_no"), F.expr(_LINE).alias("value"))
+    return parsed_lines(lines, rules()).select("stem", F.array_join("flags", "").alias("flags"), F.array_join(F.col("data")["po"], " ").alias("po"), F.array_join("alt_spellings", " ").alias("spellings"))
+
+
+@query(
+    f"WITH {_DICT} SELECT reverse(stem) AS pattern, stem AS replacement, count(*) AS n FROM dict WHERE length(stem) % 5 = 0 GROUP BY ALL "
+    "UNION ALL SELECT left(stem || 'e', length(stem)), left(stem, length(stem) - 1), count(*) FROM dict WHERE length(stem) % 4 = 1 GROUP BY ALL"
+)
+def word_misspellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replacements that misspellings in those lines add."""
+    lines = stems(spark, sf_dir).withColumn("flags", F.array_join("flags", "")).select(F.xxhash64("stem").alias("line_no"), F.expr(_LINE).alias("value"))
+    return misspellings_of(parsed_lines(lines, rules())).groupBy("pattern", "replacement").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH line AS (SELECT string_split_regex(trim(unnest(string_split({_quoted(AFF)}, chr(10)))), ' +') AS f, unnest(range(0, {AFF.count(chr(10)) + 1})) AS k), "
+    "row AS (SELECT f.k AS no, f.f AS f, h.f AS h FROM line f JOIN line h ON h.f[1] = f.f[1] AND h.f[2] = f.f[2] AND h.f[3] IN ('Y', 'N') AND len(h.f) = 4 WHERE f.f[1] IN ('SFX', 'PFX') AND len(f.f) = 5) "
+    "SELECT f[1] AS kind, row_number() OVER (PARTITION BY f[1] ORDER BY no) - 1 AS ord, f[2] AS flag, h[3] = 'Y' AS crossed, CASE f[3] WHEN '0' THEN '' ELSE f[3] END AS strip, string_split(f[4], '/')[1] AS affix, f[5] AS condition, coalesce(string_split(f[4], '/')[2], '') AS flags FROM row"
+)
+def affix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affixes of the rules as they are read from their text."""
+    return affixes(spark).select("kind", F.col("ord").cast("bigint").alias("ord"), "flag", F.col("crossproduct").alias("crossed"), "strip", F.col("add").alias("affix"), "condition", F.array_join("flags", "").alias("flags"))
+
+
 # Affixes
 
 
@@ -502,6 +555,33 @@ def compound_bad_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compounds(spark, sf_dir, most=3, triple=False)
 
 
+def _rep_sql(old: str, new: str) -> str:
+    n = len(old)
+    return f"[left(w, i) || '{new}' || substr(w, i + {n + 1}) for i in range(0, length(w) - {n - 1}) if substr(w, i + 1, {n}) = '{old}']"
+
+
+#: Two parts at most, the last with an affix; neighbours are checked in every way that lower-case words can be.
+PARTS_AFF = "SET UTF-8\nCOMPOUNDFLAG C\nCOMPOUNDMIN 3\nCOMPOUNDWORDMAX 1\nSIMPLIFIEDTRIPLE\nCHECKCOMPOUNDTRIPLE\nCHECKCOMPOUNDREP\nREP 2\nREP ou u\nREP e i\nCHECKCOMPOUNDPATTERN 2\nCHECKCOMPOUNDPATTERN n s\nCHECKCOMPOUNDPATTERN er 0\nSFX S Y 1\nSFX S 0 s .\n"
+_PART_REP = [("ou", "u"), ("e", "i")]
+_TRIPLED = "(right(a, 2) = repeat(left(b, 1), 2) OR left(b, 2) = repeat(right(a, 1), 2))"
+
+
+@query(
+    f"WITH {_WORDS}, part AS (SELECT stem, flags FROM dict WHERE list_contains(flags, 'C') AND length(stem) >= 3), "
+    "single AS MATERIALIZED (SELECT stem AS w, stem, false AS affixed FROM part UNION ALL SELECT stem || 's', stem, true FROM part WHERE list_contains(flags, 'S')), "
+    "cut AS (SELECT word, left(word, k) AS a, substr(word, k + 1) AS b FROM (SELECT word, unnest(range(3, length(word) - 2)) AS k FROM words)), "
+    "first AS (SELECT word, a, b, stem FROM cut JOIN part ON a = stem UNION ALL SELECT word, a, b, stem FROM cut JOIN part ON a || right(a, 1) = stem WHERE right(a, 1) = left(b, 1)), "
+    "pair AS (SELECT f.word, a, b FROM first f JOIN single s ON b = s.w "
+    f"WHERE NOT {_TRIPLED} AND NOT (ends_with(f.stem, 'n') AND starts_with(s.stem, 's')) AND NOT (ends_with(f.stem, 'er') AND s.affixed)), "
+    f"spoilt AS (SELECT DISTINCT w AS word FROM (SELECT w, unnest(list_concat({', '.join(_rep_sql(*p) for p in _PART_REP)})) AS x FROM (SELECT DISTINCT a || b AS w FROM pair)) WHERE x IN (SELECT w FROM single)) "
+    "SELECT word, word IN (SELECT w FROM single) OR word IN (SELECT word FROM pair WHERE word NOT IN (SELECT word FROM spoilt)) AS correct FROM words"
+)
+def compound_affixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words against compounds of two parts, the second with an affix; letters that come thrice may be written twice."""
+    parts = stems(spark, sf_dir).where(F.array_contains("flags", "C") & (F.length("stem") >= 3))
+    return spelled(distinct_words(spark, sf_dir), fetched(parts, F.when(F.array_contains("flags", "S"), "CS").otherwise("C"), PARTS_AFF), costly=True)
+
+
 # Ordinal numbers as compounds of digits, as English dictionaries have them.
 ORDINALS_AFF = "COMPOUNDMIN 1\nONLYINCOMPOUND c\nCOMPOUNDRULE 2\nCOMPOUNDRULE n*1t\nCOMPOUNDRULE n*mp\n"
 ORDINALS_DIC = "\n".join(["23", "1/n1", "1st/p", "1th/tc", "2nd/p", "2th/tc", "3rd/p", "3th/tc", *(f"{d}/nm" for d in "023456789"), *(f"{d}th/pt" for d in "0456789")])
@@ -527,11 +607,6 @@ def _key_map() -> str:
     return "map {" + ", ".join(f"'{k}': [{', '.join(map(_quoted, v))}]" for k, v in near.items()) + "}"
 
 
-def _rep_sql(old: str, new: str) -> str:
-    n = len(old)
-    return f"[left(w, i) || '{new}' || substr(w, i + {n + 1}) for i in range(0, length(w) - {n - 1}) if substr(w, i + 1, {n}) = '{old}']"
-
-
 _TRIED = "[" + ", ".join(map(_quoted, _TRY)) + "]"
 _EDIT_SQL = {
     "edit_swap": "list_concat([left(w, i) || substr(w, i + 2, 1) || substr(w, i + 1, 1) || substr(w, i + 3) for i in range(0, length(w) - 1)], CASE WHEN length(w) = 4 THEN [w[2] || w[1] || w[4] || w[3]] WHEN length(w) = 5 THEN [w[2] || w[1] || w[3] || w[5] || w[4], w[1] || w[3] || w[2] || w[5] || w[4]] ELSE []::VARCHAR[] END)",
