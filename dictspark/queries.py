@@ -782,16 +782,20 @@ def _formed(kind: str, source: str, held: str, made: str, also: str = "true") ->
     return f"SELECT word, s.stem, s.flags, {made} AS form, a.crossed FROM {source} s JOIN affixes a ON a.kind = '{kind}' AND list_contains(s.flags, a.flag) WHERE regexp_matches({held}, {fits} AND {also}"
 
 
-@query(
-    f"WITH RECURSIVE {_WRONG}, {_affix_rows()}, {_LEAST}, {_BY_ROOT}, near AS MATERIALIZED (SELECT word, stem, flags FROM scored QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, stem DESC) <= 100), "
-    f"suf AS ({_formed('SFX', 'near', 's.stem', 'left(s.stem, length(s.stem) - length(a.strip)) || a.affix')}), pre AS ({_formed('PFX', 'near', 's.stem', 'a.affix || substr(s.stem, length(a.strip) + 1)')}), "
-    f"two AS ({_formed('PFX', 'suf', 's.stem', 'a.affix || substr(s.form, length(a.strip) + 1)', 'a.crossed AND s.crossed')}), "
-    "forms AS MATERIALIZED (SELECT word, form AS stem FROM (SELECT word, stem AS form FROM near UNION ALL SELECT word, form FROM suf UNION ALL SELECT word, form FROM two UNION ALL SELECT word, form FROM pre)), "
-    f"guesses AS MATERIALIZED (SELECT word, stem, {_all_grams_sql('word', 'stem', 'length(word)')} + {_PREFIX} AS rough FROM forms JOIN least USING (word) WHERE {_all_grams_sql('word', 'stem', 'length(word)')} + {_PREFIX} > threshold QUALIFY row_number() OVER (PARTITION BY word ORDER BY rough DESC, stem DESC) <= 200), "
-    f"{_common_sql('guesses')}, {_parts_sql('guesses')}, ranked AS (SELECT word, stem, {_PRECISE} AS score, rough FROM parts), "
-    "ordered AS (SELECT word, stem, score, row_number() OVER (PARTITION BY word ORDER BY score DESC, rough DESC, stem DESC) - 1 AS ordinal, max(score) OVER (PARTITION BY word) AS best FROM ranked) "
-    "SELECT word, ordinal, stem AS suggestion FROM ordered WHERE CASE WHEN best > 1000 THEN score > 1000 WHEN best >= -100 THEN score >= -100 ELSE ordinal = 0 END"
-)
+def _alike_sql(asked: str = "asked", fit: str = "true") -> str:
+    """ordered: (word, stem, score, ordinal, best) of the forms that look like the words asked, of entries that are fit; after affixes."""
+    return (
+        f"{_LEAST}, {_BY_ROOT}, near AS MATERIALIZED (SELECT word, stem, flags FROM scored WHERE {fit} AND word IN (SELECT word FROM {asked}) QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, stem DESC) <= 100), "
+        f"suf AS ({_formed('SFX', 'near', 's.stem', 'left(s.stem, length(s.stem) - length(a.strip)) || a.affix')}), pre AS ({_formed('PFX', 'near', 's.stem', 'a.affix || substr(s.stem, length(a.strip) + 1)')}), "
+        f"two AS ({_formed('PFX', 'suf', 's.stem', 'a.affix || substr(s.form, length(a.strip) + 1)', 'a.crossed AND s.crossed')}), "
+        "alike AS MATERIALIZED (SELECT word, form AS stem FROM (SELECT word, stem AS form FROM near UNION ALL SELECT word, form FROM suf UNION ALL SELECT word, form FROM two UNION ALL SELECT word, form FROM pre)), "
+        f"guesses AS MATERIALIZED (SELECT word, stem, {_all_grams_sql('word', 'stem', 'length(word)')} + {_PREFIX} AS rough FROM alike JOIN least USING (word) WHERE {_all_grams_sql('word', 'stem', 'length(word)')} + {_PREFIX} > threshold QUALIFY row_number() OVER (PARTITION BY word ORDER BY rough DESC, stem DESC) <= 200), "
+        f"{_common_sql('guesses')}, {_parts_sql('guesses')}, ranked AS (SELECT word, stem, {_PRECISE} AS score, rough FROM parts), "
+        "ordered AS (SELECT word, stem, score, row_number() OVER (PARTITION BY word ORDER BY score DESC, rough DESC, stem DESC) - 1 AS ordinal, max(score) OVER (PARTITION BY word) AS best FROM ranked)"
+    )
+
+
+@query(f"WITH RECURSIVE {_WRONG}, {_affix_rows()}, {_alike_sql()} SELECT word, ordinal, stem AS suggestion FROM ordered WHERE CASE WHEN best > 1000 THEN score > 1000 WHEN best >= -100 THEN score >= -100 ELSE ordinal = 0 END")
 def suggest_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every form that looks like each wrong word, in order."""
     return alike(_wrong(spark, sf_dir), dictionary(spark, sf_dir))
@@ -827,6 +831,33 @@ def suggest_twowords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.join(known.withColumnRenamed("stem", "a"), left == F.col("a"), "left_semi").join(known.withColumnRenamed("stem", "b"), right == F.col("b"), "left_semi")
 
 
+def _ordered_sql() -> str:
+    """Slips, splits in two, then what looks alike and holds no suggestion made before, for words in lower case."""
+    good = _lookup_sql("NOSUGGEST", forms="forms AS (SELECT DISTINCT text AS word, 'NO' AS kind, 0 AS variant, text AS form FROM (SELECT text FROM tried UNION SELECT a FROM halves UNION SELECT b FROM halves))", base="X", nosuggest=False)
+    return (
+        f"WITH RECURSIVE {_WRONG}, tried AS MATERIALIZED (SELECT w AS word, text, arg_min(kind, (rank, place)) AS kind, min((rank, place)) AS spot FROM ({_TRIED_SQL}) GROUP BY ALL), "
+        "halves AS (SELECT word, k, left(word, k) AS a, substr(word, k + 1) AS b FROM (SELECT word, unnest(range(1, length(word))) AS k FROM asked)), "
+        + good.removeprefix("WITH X, ").rsplit(" SELECT word, ", 1)[0]
+        + ", split AS (SELECT * FROM halves WHERE a IN (SELECT word FROM good) AND b IN (SELECT word FROM good)), "
+        "option AS (SELECT word, text, kind, spot[1] * 1000000 + spot[2] AS spot FROM tried WHERE text IN (SELECT word FROM good) UNION ALL SELECT word, a || ' ' || b, 'twowords', 12000000 + 2 * k FROM split UNION ALL SELECT word, a || '-' || b, 'twowords', 12000001 + 2 * k FROM split), "
+        "slip AS MATERIALIZED (SELECT word, text, kind, row_number() OVER (PARTITION BY word ORDER BY spot) - 1 AS ordinal FROM option QUALIFY ordinal <= 15), "
+        "open AS (SELECT word FROM asked WHERE word NOT IN (SELECT word FROM slip WHERE kind = 'replchars')), "
+        + _alike_sql("open", "NOT list_contains(flags, 'Q')")
+        + ", fresh AS (SELECT *, NOT EXISTS (SELECT 1 FROM slip s WHERE s.word = o.word AND contains(o.stem, s.text)) AS new FROM ordered o), "
+        "counted AS (SELECT *, min(ordinal) FILTER (score < -100) OVER (PARTITION BY word) AS doubtful, count(*) FILTER (new AND score >= -100) OVER (PARTITION BY word) AS better FROM fresh), "
+        "listed AS (SELECT word, list([stem] ORDER BY ordinal) AS found FROM counted WHERE new AND CASE WHEN best > 1000 THEN score > 1000 ELSE score >= -100 OR (better = 0 AND ordinal = doubtful) END GROUP BY word), "
+        "taken AS (SELECT word, list_reduce(list_prepend([]::VARCHAR[], found), lambda acc, x: CASE WHEN len(acc) < 4 AND len(list_filter(acc, lambda y: contains(x[1], y))) = 0 THEN list_concat(acc, x) ELSE acc END) AS texts FROM listed), "
+        "every AS (SELECT word, kind, text, 0 AS stage, ordinal FROM slip UNION ALL SELECT word, 'ngram', unnest(texts), 1, unnest(range(0, len(texts))) FROM taken) "
+        "SELECT word, row_number() OVER (PARTITION BY word ORDER BY stage, ordinal) - 1 AS ordinal, kind, text AS suggestion FROM every"
+    )
+
+
+@query(_ordered_sql())
+def suggest_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suggestions in order with one flag, NOSUGGEST; what the other flags add is in suggest_full."""
+    return suggestions(_wrong(spark, sf_dir), dictionary(spark, sf_dir, "NOSUGGEST")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
 @query()
 def suggest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggestions(_wrong(spark, sf_dir), dictionary(spark, sf_dir, *ROLES))
