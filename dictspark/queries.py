@@ -561,25 +561,39 @@ def _rep_sql(old: str, new: str) -> str:
 
 
 #: Two parts at most, the last with an affix; neighbours are checked in every way that lower-case words can be.
-PARTS_AFF = "SET UTF-8\nCOMPOUNDFLAG C\nCOMPOUNDMIN 3\nCOMPOUNDWORDMAX 1\nSIMPLIFIEDTRIPLE\nCHECKCOMPOUNDTRIPLE\nCHECKCOMPOUNDREP\nREP 2\nREP ou u\nREP e i\nCHECKCOMPOUNDPATTERN 2\nCHECKCOMPOUNDPATTERN n s\nCHECKCOMPOUNDPATTERN er 0\nSFX S Y 1\nSFX S 0 s .\n"
-_PART_REP = [("ou", "u"), ("e", "i")]
+PARTS_AFF = (
+    "SET UTF-8\nCOMPOUNDFLAG C\nCOMPOUNDMIN 3\nCOMPOUNDWORDMAX 1\nSIMPLIFIEDTRIPLE\nCHECKCOMPOUNDTRIPLE\nCHECKCOMPOUNDREP\nREP 4\nREP a e\nREP e a\nREP i o\nREP o i\n"
+    "CHECKCOMPOUNDPATTERN 2\nCHECKCOMPOUNDPATTERN n s\nCHECKCOMPOUNDPATTERN e 0\nSFX S Y 1\nSFX S 0 s .\n"
+)
+_PART_REP = [("a", "e"), ("e", "a"), ("i", "o"), ("o", "i")]
+#: Of a third of the stems the last letter is doubled.
+_PART = "CASE WHEN c % 3 = 0 THEN stem || right(stem, 1) ELSE stem END"
+#: Words of documents, and those of benchmark with the next word glued to them, once with letters doubled at the joint.
+_GLUED = "glued AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT " + _LETTERS.format("lower(text)") + " AS w FROM benchmark)))"
+_JOINTS = "joints AS (SELECT word FROM words UNION SELECT a || b FROM glued UNION SELECT a || right(a, 1) || b FROM glued UNION SELECT a || right(a, 1) || left(b, 1) || b FROM glued)"
 _TRIPLED = "(right(a, 2) = repeat(left(b, 1), 2) OR left(b, 2) = repeat(right(a, 1), 2))"
 
 
 @query(
-    f"WITH {_WORDS}, part AS (SELECT stem, flags FROM dict WHERE list_contains(flags, 'C') AND length(stem) >= 3), "
+    f"WITH {_WORDS}, {_GLUED}, {_JOINTS}, part AS (SELECT {_PART} AS stem, flags FROM dict WHERE length(stem) >= 3), "
     "single AS MATERIALIZED (SELECT stem AS w, stem, false AS affixed FROM part UNION ALL SELECT stem || 's', stem, true FROM part WHERE list_contains(flags, 'S')), "
-    "cut AS (SELECT word, left(word, k) AS a, substr(word, k + 1) AS b FROM (SELECT word, unnest(range(3, length(word) - 2)) AS k FROM words)), "
+    "cut AS (SELECT word, left(word, k) AS a, substr(word, k + 1) AS b FROM (SELECT word, unnest(range(3, length(word) - 2)) AS k FROM joints)), "
     "first AS (SELECT word, a, b, stem FROM cut JOIN part ON a = stem UNION ALL SELECT word, a, b, stem FROM cut JOIN part ON a || right(a, 1) = stem WHERE right(a, 1) = left(b, 1)), "
     "pair AS (SELECT f.word, a, b FROM first f JOIN single s ON b = s.w "
-    f"WHERE NOT {_TRIPLED} AND NOT (ends_with(f.stem, 'n') AND starts_with(s.stem, 's')) AND NOT (ends_with(f.stem, 'er') AND s.affixed)), "
+    f"WHERE NOT {_TRIPLED} AND NOT (ends_with(f.stem, 'n') AND starts_with(s.stem, 's')) AND NOT (ends_with(f.stem, 'e') AND s.affixed)), "
     f"spoilt AS (SELECT DISTINCT w AS word FROM (SELECT w, unnest(list_concat({', '.join(_rep_sql(*p) for p in _PART_REP)})) AS x FROM (SELECT DISTINCT a || b AS w FROM pair)) WHERE x IN (SELECT w FROM single)) "
-    "SELECT word, word IN (SELECT w FROM single) OR word IN (SELECT word FROM pair WHERE word NOT IN (SELECT word FROM spoilt)) AS correct FROM words"
+    "SELECT word, word IN (SELECT w FROM single) OR word IN (SELECT word FROM pair WHERE word NOT IN (SELECT word FROM spoilt)) AS correct FROM joints"
 )
 def compound_affixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words against compounds of two parts, the second with an affix; letters that come thrice may be written twice."""
-    parts = stems(spark, sf_dir).where(F.array_contains("flags", "C") & (F.length("stem") >= 3))
-    return spelled(distinct_words(spark, sf_dir), fetched(parts, F.when(F.array_contains("flags", "S"), "CS").otherwise("C"), PARTS_AFF), costly=True)
+    """All words and glued ones against compounds of two parts, the second with an affix; letters that come thrice may be written twice."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    pairs = table(spark, sf_dir, "benchmark").select(found.alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p")).where("p.b is not null")
+    a, b = F.col("p.a"), F.col("p.b")
+    last, initial = F.right(a, F.lit(1)), F.left(b, F.lit(1))
+    glued = pairs.select(F.explode(F.array(F.concat(a, b), F.concat(a, last, b), F.concat(a, last, initial, b))).alias("word"))
+    asked = distinct_words(spark, sf_dir).unionByName(glued).distinct()
+    parts = stems(spark, sf_dir).where(F.length("stem") >= 3).withColumn("stem", F.expr(_PART))
+    return spelled(asked, fetched(parts, F.when(F.array_contains("flags", "S"), "CS").otherwise("C"), PARTS_AFF), costly=True)
 
 
 # Ordinal numbers as compounds of digits, as English dictionaries have them.

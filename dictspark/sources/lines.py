@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,15 +90,17 @@ def read_words(spark: SparkSession, path: str, rules: Rules) -> DataFrame:
     line_no grows with the lines of a task and is unique, but is no running number, which would need one task for all.
     Texts that aren't UTF-8 are decoded in Python, a batch at a time. misspellings_of() gives what ph: tags add.
     """
-    encoding = decoded(b"", rules["SET"])[1]
+    encoding = rules["SET"]
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
-    if encoding.upper().replace("_", "-") not in ("UTF-8", "UTF8"):
+    if encoding.upper() not in ("UTF-8", "UTF8"):
 
-        @F.pandas_udf("string")
-        def text(raw: pd.Series) -> pd.Series:
-            return raw.map(lambda x: clean(decoded(bytes(x), encoding)[0]))
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                numbers, raw = batch.columns
+                found = [clean(decoded(x, encoding)[0]) for x in raw.to_pylist()]
+                yield pa.RecordBatch.from_arrays([numbers, pa.array(found, pa.string())], names=["line_no", "value"])
 
-        lines = lines.select("line_no", text(F.col("value").cast("binary")).alias("value"))
+        lines = lines.select("line_no", F.col("value").cast("binary")).mapInArrow(texts, "line_no bigint, value string")
     first = F.col("line_no") == 0  # a file's first split is among its largest, and those are dealt out in order
     lines = lines.withColumn("value", F.when(first, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
     return parsed_lines(lines.where(~(first & F.col("value").rlike(rf"^{_SPACE}*\d+({_SPACE}|$)"))), rules)

@@ -12,7 +12,7 @@ from dictspark.kernel import candidates, similar
 from dictspark.kernel.casing import Casing, GermanCasing, TurkicCasing
 from dictspark.kernel.expand import forms
 from dictspark.operators import compound, convert, correct, expand, lookup, probe
-from dictspark.operators.similar import nearest_roots
+from dictspark.operators.similar import alike, nearest_roots
 from dictspark.sources.dictionary import Dictionary
 from dictspark.streaming import misspellings
 
@@ -110,6 +110,13 @@ def test_nearest_roots(spark, own):
     assert [(r["score"], r["stem"]) for r in got] == want
 
 
+def test_alike(spark, own):
+    df = spark.createDataFrame([("tidyy",), (None,), ("",), ("plam",)], "word string")
+    rows = alike(df, own).orderBy("word", "ordinal").collect()
+    assert {w: [r["suggestion"] for r in rows if r["word"] == w] for w in ("tidyy", "", "plam", None)} == {w: list(own.corrector.similar.by_letters(w, set())) for w in ("tidyy", "", "plam")} | {None: []}
+    assert rows and alike(df, own, sounds=True).count() == alike(df.limit(0), own).count() == 0
+
+
 def test_probes_compounds_conversions(spark, own):
     df = spark.createDataFrame([("plans",), ("nobody",), ("oslo",)], "word string")
     assert {r["word"]: r["has_flag"] for r in probe.has_flag(df, own.words(spark), "X").collect()} == {"plans": True, "nobody": False, "oslo": False}
