@@ -596,6 +596,32 @@ def compound_affixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelled(asked, fetched(parts, F.when(F.array_contains("flags", "S"), "CS").otherwise("C"), PARTS_AFF), costly=True)
 
 
+#: Three parts at most, each with a flag for its place; parts that no other may follow, and last ones that ask for a capital.
+PLACES_AFF = "SET UTF-8\nCOMPOUNDMIN 3\nCOMPOUNDWORDMAX 2\nCOMPOUNDBEGIN B\nCOMPOUNDMIDDLE M\nCOMPOUNDEND E\nCOMPOUNDFORBIDFLAG Q\nFORCEUCASE U\n"
+_PLACES = {"B": "c % 2 = 0", "M": "c % 3 = 0", "E": "length(stem) % 2 = 1", "Q": "c % 5 = 0", "U": "c % 7 = 0"}
+
+
+@query(
+    f"WITH {_DICT}, placed AS (SELECT stem, {', '.join(f'{when} AS {flag}' for flag, when in _PLACES.items())} FROM dict), "
+    f"text AS (SELECT {_LETTERS.format('lower(text)')} AS w FROM benchmark), spot AS (SELECT w, unnest(range(1, len(w))) AS i FROM text), "
+    "asked AS (SELECT w[i] || w[i + 1] AS word FROM spot UNION SELECT w[i] || w[i + 1] || w[i + 2] FROM spot WHERE i + 2 <= len(w)), "
+    "cut AS (SELECT word, substr(word, 1, k) AS a, substr(word, k + 1) AS rest FROM (SELECT word, unnest(range(3, length(word) - 2)) AS k FROM asked)), "
+    "begun AS (SELECT word, rest FROM cut JOIN placed ON a = stem WHERE B AND NOT Q), "
+    "gone AS (SELECT word, substr(rest, k + 1) AS rest, left(rest, k) AS mid FROM (SELECT word, rest, unnest(range(3, length(rest) - 2)) AS k FROM begun)), "
+    "ends AS (SELECT word, rest FROM begun UNION ALL SELECT word, rest FROM gone JOIN placed ON mid = stem WHERE M AND NOT Q) "
+    "SELECT word, word IN (SELECT stem FROM dict) OR word IN (SELECT word FROM ends JOIN placed ON rest = stem WHERE E AND NOT U) AS correct FROM asked"
+)
+def compound_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two and three neighbours in texts of benchmark, glued, against compounds whose parts have their places."""
+    found = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1).alias("w"))
+    behind = lambda n: F.slice("w", n + 1, F.greatest(F.size("w"), F.lit(1)))
+    rows = found.select(F.explode(F.arrays_zip(F.col("w").alias("a"), behind(1).alias("b"), behind(2).alias("c"))).alias("p")).where("p.b is not null")
+    two = F.concat("p.a", "p.b")
+    asked = rows.select(F.explode(F.array(two, F.concat(two, "p.c"))).alias("word")).where("word is not null").distinct()
+    flags = F.concat(*(F.when(F.expr(when), flag).otherwise("") for flag, when in _PLACES.items()))
+    return spelled(asked, fetched(stems(spark, sf_dir).withColumn("flag_text", flags), F.col("flag_text"), PLACES_AFF), costly=True)
+
+
 # Ordinal numbers as compounds of digits, as English dictionaries have them.
 ORDINALS_AFF = "COMPOUNDMIN 1\nONLYINCOMPOUND c\nCOMPOUNDRULE 2\nCOMPOUNDRULE n*1t\nCOMPOUNDRULE n*mp\n"
 ORDINALS_DIC = "\n".join(["23", "1/n1", "1st/p", "1th/tc", "2nd/p", "2th/tc", "3rd/p", "3th/tc", *(f"{d}/nm" for d in "023456789"), *(f"{d}th/pt" for d in "0456789")])
