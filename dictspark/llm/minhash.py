@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dictspark.llm import wordhash
@@ -18,9 +18,9 @@ BINS, BANDS, ROWS = 1 << 20, 32, 5
 #: Members checked against one copy of their leader's text.
 SALT = 512
 
-#: Cells of the table of shingle counts by which prefixes are ordered.
-CELLS = 1 << 18
-#: Sets from which a shingle is hot; then two, and LEVELS at most, must be shared.
+#: Bits of the table that sifts ids before texts are dealt out.
+SIFT = 1 << 23
+#: Sets outside its largest component from which a shingle is hot; then two, and LEVELS at most, must be shared.
 HOT, LEVELS = 64, 3
 
 _SIGNATURE_SCHEMA = "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
@@ -116,45 +116,38 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return dealt.mapInArrow(_verify(width, percent), "a bigint, b bigint").distinct()
 
 
-def _cells(width: int, text: int):
+def _members(width: int, text: int):
+    """A row for each shingle of each set; part tells apart the texts of one id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
         for batch in pieces(batches, text):
             hashes, first = wordhash.words(*text_bytes(batch.column(text)))
             sets = [wordhash.shingles(hashes[a:b], width) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            total += np.bincount((np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(46)).astype(np.int64), minlength=CELLS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "c"])
+            size = np.array([len(own) for own in sets], np.int64)
+            part = np.array([wordhash.mix(own).sum(dtype=np.uint64) for own in sets], np.uint64).view(np.int64)
+            token = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            take = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            own = [batch.column("id").take(take), batch.column("comp").take(take), pa.array(np.repeat(part, size)), pa.array(np.repeat(size, size))]
+            yield pa.RecordBatch.from_arrays([pa.array(token), *own], names=["token", "id", "comp", "part", "n"])
 
     return run
 
 
-def _prefixes(width: int, percent: int, text: int, shared):
-    """The rarest shingles of each set, without those that occur once: place in the set's order, and size of the prefix.
+def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(token, id, comp, n, at, prefix): the rarest shingles of each set, without those of a single component.
 
-    Similar sets share one of their prefixes, and l of l - 1 shingles more.
+    at is the place in the set's order, prefix the size of its prefix. Similar sets share one of their prefixes, and l of
+    l - 1 shingles more. The order is that of exact counts: shingles of one component, which pair nothing, come first,
+    and so places are told by those that follow.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
-            hashes, first = wordhash.words(*text_bytes(batch.column(text)))
-            token, place, size, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
-            for i in range(batch.num_rows):
-                own = wordhash.shingles(hashes[first[i] : first[i + 1]], width)
-                n = len(own)
-                times = shared.value[(own >> np.uint64(46)).astype(np.int64)]
-                order = np.lexsort((own, times))[: n - -(-percent * n // 100) + LEVELS]
-                at = np.flatnonzero(times[order] > 1)
-                token.append(own[order[at]].view(np.int64))
-                place.append(at)
-                size.append(n)
-                row.append(len(at))
-            take = pa.array(np.repeat(np.arange(batch.num_rows), row))
-            size = np.repeat(np.array(size, np.int64), row)
-            own = [pa.array(np.concatenate(token)), pa.array(size), pa.array(np.concatenate(place)), pa.array(size - -(-percent * size // 100) + 1)]
-            yield pa.RecordBatch.from_arrays([own[0], batch.column("id").take(take), batch.column("comp").take(take), *own[1:]], names=["token", "id", "comp", "n", "at", "prefix"])
-
-    return run
+    rows = materialize(docs.mapInArrow(_members(width, docs.columns.index("text")), "token bigint, id bigint, comp bigint, part bigint, n bigint"), "shingles")
+    counts = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("token", "c")
+    order = Window.partitionBy("id", "part").orderBy(F.desc("c"), F.desc("token"))
+    least = F.expr(f"cast(ceil({percent} * n / 100) as bigint)")
+    placed = rows.join(counts, "token").withColumn("at", F.col("n") - F.dense_rank().over(order)).withColumn("prefix", F.col("n") - least + 1)
+    out = materialize(placed.where(f"at < prefix + {LEVELS - 1}").select("token", "id", "comp", "n", "at", "prefix"), "prefixes")
+    discard(rows)
+    return out
 
 
 def prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -162,25 +155,20 @@ def prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     All sets are put in one order, rare shingles first. Two sets whose similarity suffices share a shingle of their
     prefixes; at the first of these, what is left of both bounds what they can still share. Pairs that fall below
-    the bound are never made. Where more than HOT sets share a shingle, the second and third that similar sets must share
-    are asked for as well, so that a shingle of many sets doesn't pair them all. The order comes from a table of CELLS
-    counts, the only thing that is broadcast.
+    the bound are never made. Sets outside the component that has most of a shingle's sets are paired with all of its
+    sets, so that a large family costs what its neighbours are. Where more than HOT sets are outside, the second and third
+    shingle that similar sets must share are asked for as well, so that a shingle of many sets doesn't pair them all.
     """
-    text = docs.columns.index("text")
-    cells = docs.mapInArrow(_cells(width, text), "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c"))
-    counts = np.zeros(CELLS, np.int64)
-    for row in cells.toLocalIterator():
-        counts[row["cell"]] = row["c"]
-    rows = docs.mapInArrow(_prefixes(width, percent, text, docs.sparkSession.sparkContext.broadcast(counts)), "token bigint, id bigint, comp bigint, n bigint, at bigint, prefix bigint")
-    rows = materialize(rows, "prefixes")
+    rows = prefixes(docs, width, percent)
     keyed, level, out = rows.where("at < prefix").select(F.col("token").alias("key"), "id", "comp", "n", "at", F.col("at").alias("last")), 1, None
     left = "least(x.n - x.at, y.n - y.at)"
     while keyed is not None:
-        groups = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", (F.col("c") > HOT).alias("hot"))
-        groups = materialize(groups, "groups")
+        families = keyed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        groups = families.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most")).where("c > most.c")
+        groups = materialize(groups.select("key", F.col("most.comp").alias("main"), (F.col("c") - F.col("most.c") > HOT).alias("hot")), "groups")
         now = groups if level == LEVELS else groups.where("not hot")
-        x, y = keyed.join(now.select("key"), "key").alias("x"), keyed.alias("y")
-        found = x.join(y, F.expr(f"x.key = y.key and x.comp < y.comp and 100 * {left} >= {percent} * (x.n + y.n - {left})"))
+        x, y = keyed.join(now.select("key", "main"), "key").where("comp <> main").alias("x"), keyed.alias("y")
+        found = y.join(x, F.expr(f"x.key = y.key and x.comp <> y.comp and (y.comp = x.main or x.comp < y.comp) and 100 * {left} >= {percent} * (x.n + y.n - {left})"))
         found = found.select(F.least("x.id", "y.id").alias("leader"), F.greatest("x.id", "y.id").alias("id")).where("leader < id")
         out = found if out is None else out.unionByName(found)
         if level == LEVELS or groups.where("hot").isEmpty():
@@ -192,6 +180,18 @@ def prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return out.distinct()
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text) whose doc_id is one of ids(id); most others go before texts are dealt out.
+
+    A table of SIFT bits is broadcast, whatever the number of ids; what it lets pass by chance goes in the join.
+    """
+    bit = F.expr(f"pmod(xxhash64(doc_id), {SIFT})")
+    bits = ids.select(F.col("id").alias("doc_id")).select(bit.alias("bit"))
+    bits = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+    sifted = docs.withColumn("bit", bit).join(F.broadcast(bits), F.expr("bit div 64 = word and bit_get(bits, cast(bit % 64 as int)) = 1"), "left_semi").drop("bit")
+    return sifted.join(ids.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     leaders = buckets.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("m"))).alias("r")).select("key", (-F.col("r.m")).alias("leader"))
     shares = buckets.select("key", "id").join(leaders, "key").where("id <> leader").groupBy("id", "leader").count()
     best = materialize(shares.groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")), "pairs")
-    near = materialize(docs.join(company.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi"), "near")
+    near = materialize(texts_of(docs, company), "near")
     firm = materialize(verified(near, best, width, percent), "links")
     labels = connected_components(firm)
 

@@ -790,6 +790,39 @@ def test_shingles_of_many_sets(spark, monkeypatch, hot):
     assert want and {(r["a"], r["b"]) for r in pairs.collect()} == want
 
 
+def test_shingles_of_a_large_family(spark, monkeypatch):
+    """A family in one component and a few sets outside that share much with it: pairs with these alone, from few rows."""
+    random, rows, written = np.random.default_rng(15), [], []
+    common = [f"c{k}" for k in range(80)]
+    for k in range(150):
+        own = list(common)
+        own[int(random.integers(0, 80))] = f"n{k}"
+        rows.append((k, 0, " ".join(own)))
+    rows += [(200 + k, 200 + k, " ".join([*common[: 76 - 8 * k], *(f"o{k}x{i}" for i in range(4 + 8 * k))])) for k in range(4)]
+    docs = spark.createDataFrame(rows, "id bigint, comp bigint, text string")
+    plain = minhash.materialize
+
+    def counted(df, label):
+        out = plain(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    pairs = minhash.verified(docs.select(F.col("id").alias("doc_id"), "text"), minhash.prefix_pairs(docs, 3, 80), 3, 80)
+    sets, comp = {k: _sets(t, 3) for k, _, t in rows}, {k: c for k, c, _ in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want and {(r["a"], r["b"]) for r in pairs.collect()} == want
+    assert sum(n for label, n in written if label == "prefixes") <= sum(-(-len(x) // 5) + minhash.LEVELS for x in sets.values())
+
+
+def test_texts_of_some_ids(spark, monkeypatch):
+    docs, ids = docs_of(spark, *(f"text {k}" for k in range(500))).select("doc_id", "text"), spark.range(3, 500, 9)
+    for bits in (64, minhash.SIFT):
+        monkeypatch.setattr(minhash, "SIFT", bits)
+        assert sorted(map(tuple, minhash.texts_of(docs, ids).collect())) == [(k, f"text {k}") for k in range(3, 500, 9)]
+    assert minhash.texts_of(docs, ids.limit(0)).count() == 0
+
+
 def test_recall_of_bands():
     """Of pairs about the limit of 0.85, the share that has a band in common."""
     random, found, tried = np.random.default_rng(13), 0, 0
