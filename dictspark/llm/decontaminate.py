@@ -6,7 +6,7 @@ and ANSWER of the answer's words. A stretch begins at any word of the document.
 Candidates come from two searches, and each is checked word by word:
 
 * TF-IDF vectors of passages are projected on the leading right singular vectors of a randomised SVD of benchmark and
-  corpus; windows of documents are compared with items by their cosine in that space. It finds likenesses of words that
+  corpus, all documents of it; windows of documents are compared with items by their cosine in that space. It finds likenesses of words that
   stand together, but nothing bounds what it overlooks.
 * So the rarest words of an item are looked up as well: a stretch that passes the check can miss only 1 - LIKELY of the
   item's places, so that of any places more than these it has some. This search overlooks nothing that the check accepts
@@ -28,8 +28,10 @@ from dictspark.llm.common import map_batches, pieces, spread, table, text_bytes
 
 #: Words of a passage whose frequencies count, and cells of the hashed table of frequencies.
 PASSAGE, CELLS = 32, 1 << 16
-#: About so many documents are read to fit the singular vectors; the benchmark always is, and has this share of the trace.
-FIT_DOCS, BENCHMARK_SHARE = 2000, 0.9
+#: Share of the trace that the benchmark has where singular vectors are fitted; all documents have the rest.
+BENCHMARK_SHARE = 0.9
+#: Words of all spaces up to which a task sums pairs of words in one table; passages at a time; rows of a product that travel together.
+PAIR_WORDS, PAIR_PASSAGES, PRODUCT_ROWS = 4608, 512, 256
 #: Items that share one space, its dimensions, those that are cut off again, and what each item keeps of its energy there.
 SPACE, RANK, EXTRA, ENERGY = 160, 192, 16, 0.9
 #: Items compared in one pass over the documents.
@@ -386,44 +388,108 @@ def matches(items: Items, spaces: list[Space], column: pa.Array) -> dict[tuple[i
     return out
 
 
-def fit(docs: DataFrame, rows: list[tuple], idf: np.ndarray, fit_docs: int = FIT_DOCS) -> tuple[Items, list[Space]]:
-    """Items, and spaces for them: singular vectors of the items and of passages of about fit_docs documents, chosen by hash."""
-    spark = docs.sparkSession
+def by_frequency(vocabulary: Vocabulary, idf: np.ndarray) -> np.ndarray:
+    """The place of each word in a table of pairs: frequent ones stand together, so that most sums stay in the cache."""
+    out = np.empty(len(vocabulary), np.int64)
+    out[np.argsort(idf[cell(vocabulary.hashes)], kind="stable")] = np.arange(len(vocabulary))
+    return out
+
+
+def add_pairs(table_: np.ndarray, vocabulary: Vocabulary, idf: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> None:
+    """Add T to table_, where T + T^T is A^T A for the unit TF-IDF rows A of the passages of a batch, words by_frequency()."""
+    starts, sizes = passages_of(first)
+    if not len(starts):
+        return
+    at, row = vocabulary.places(hashes)
+    all_owners = np.repeat(np.arange(len(starts)), sizes)[at]
+    norm = np.sqrt(np.add.reduceat(idf[cell(hashes)] ** 2, starts))
+    values = idf[cell(vocabulary.hashes)][row] / np.maximum(norm[all_owners], 1e-6)
+    rows, flat = by_frequency(vocabulary, idf)[row], table_.reshape(-1)
+    ends = np.append(np.searchsorted(all_owners, np.arange(PAIR_PASSAGES, len(starts), PAIR_PASSAGES)), len(rows))
+    for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        owner, value, row = all_owners[lo:hi], values[lo:hi], rows[lo:hi]
+        np.add.at(flat, row * (len(vocabulary) + 1), value**2 / 2)
+        for apart in range(1, min(PASSAGE, len(row))):
+            same = owner[apart:] == owner[:-apart]
+            if not same.any():
+                break
+            one, other = row[:-apart][same], row[apart:][same]
+            np.add.at(flat, np.minimum(one, other) * len(vocabulary) + np.maximum(one, other), (value[:-apart] * value[apart:])[same])
+
+
+def corpus_products(docs: DataFrame, spaces: list[Space], right: list[np.ndarray], idf: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """((A^T A) right, trace of A^T A) of each space for the passages of all docs, in one pass."""
+    hashes = np.unique(np.concatenate([s.vocabulary.hashes for s in spaces]))
+    words = Vocabulary(hashes) if len(hashes) <= PAIR_WORDS else None
+    shared = docs.sparkSession.sparkContext.broadcast((spaces, right, words, idf))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, factors, words, idf = shared.value
+        total, traces = [np.zeros(x.shape, np.float32) for x in factors], np.zeros(len(own))
+        pairs = np.zeros((len(words),) * 2, np.float32) if words else None
+        for batch in pieces(batches, 0):
+            hashes, first = tokens(batch.column(0))
+            if words:
+                add_pairs(pairs, words, idf, hashes, first)
+                continue
+            for k, space in enumerate(own):
+                product, trace = space.gram_times(hashes, *passages_of(first), factors[k])
+                total[k] += product
+                traces[k] += trace
+        for k, space in enumerate(own):
+            if words:
+                at = by_frequency(words, idf)[np.searchsorted(words.hashes, space.vocabulary.hashes)]
+                part = pairs[np.ix_(at, at)]
+                total[k], traces[k] = part @ factors[k] + part.T @ factors[k], 2 * np.trace(part, dtype=np.float64)
+            for block, lo in enumerate(range(0, len(total[k]), PRODUCT_ROWS)):
+                row = [[k], [block], [total[k][lo : lo + PRODUCT_ROWS].tobytes()], [traces[k] if not block else 0.0]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.float64()))], names=["space", "block", "part", "trace"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                now = sums.setdefault((r["space"], r["block"]), [0.0, 0.0])
+                now[0], now[1] = now[0] + np.frombuffer(r["part"], np.float32).astype(np.float64), now[1] + r["trace"]
+        for (k, block), (part, trace) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([trace])], names=["space", "block", "part", "trace"])
+
+    schema = "space int, block int, part binary, trace double"
+    out, trace = [np.zeros(x.shape) for x in right], np.zeros(len(spaces))
+    for row in spread(docs.select("text")).mapInArrow(multiply, schema).repartition("space", "block").mapInArrow(add, schema).toLocalIterator():
+        lo = row["block"] * PRODUCT_ROWS
+        own = out[row["space"]][lo : lo + PRODUCT_ROWS]
+        own += np.frombuffer(row["part"]).reshape(own.shape)
+        trace[row["space"]] += row["trace"]
+    shared.destroy()
+    return out, trace
+
+
+def fit(docs: DataFrame, rows: list[tuple], idf: np.ndarray) -> tuple[Items, list[Space]]:
+    """Items, and spaces for them: singular vectors of the items and of the passages of all documents.
+
+    One product of the Gram matrix with a basis of the items and of random directions is made, in one pass over docs;
+    its singular vectors come from that by Nystrom's method.
+    """
     items = Items(rows, idf)
     long = np.flatnonzero(items.size >= LEAST_WORDS)
     spaces = [Space(items, long[at : at + SPACE], idf) for at in range(0, len(long), SPACE)]
-    share = min(1.0, fit_docs / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < share * 1_000_000).select("text").repartition(4)
+    if not spaces:
+        return items, spaces
     random = np.random.default_rng(2)
-    right = [random.standard_normal((len(s.vocabulary), min(RANK + EXTRA, len(s.vocabulary)))).astype(np.float32) for s in spaces]
-    for last in (False, True):
-        shared = spark.sparkContext.broadcast((spaces, right))
-
-        def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, factors = shared.value
-            total, traces = [np.zeros(x.shape, np.float32) for x in factors], np.zeros(len(own))
-            for batch in pieces(batches, 0):
-                hashes, first = tokens(batch.column(0))
-                for k, space in enumerate(own):
-                    product, trace = space.gram_times(hashes, *passages_of(first), factors[k])
-                    total[k] += product
-                    traces[k] += trace
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary()), pa.array(traces)], names=["space", "part", "trace"])
-
-        corpus, trace = [np.zeros(x.shape, np.float32) for x in right], np.zeros(len(spaces))
-        for row in chosen.mapInArrow(multiply, "space int, part binary, trace double").toLocalIterator():
-            corpus[row["space"]] += np.frombuffer(row["part"], np.float32).reshape(right[row["space"]].shape)
-            trace[row["space"]] += row["trace"]
-        shared.destroy()
-        product = []
-        for k, space in enumerate(spaces):
-            of_items, own = space.of_items(right[k])
-            product.append(BENCHMARK_SHARE / max(own, 1e-9) * of_items + (1 - BENCHMARK_SHARE) / max(trace[k], 1e-9) * corpus[k])
-        if not last:
-            right = [np.linalg.qr(x)[0].astype(np.float32) for x in product]
-    for space, vectors, images in zip(spaces, right, product):  # Rayleigh-Ritz: singular vectors in the range found
-        value, turn = np.linalg.eigh((vectors.T @ images).astype(np.float64))
-        space.finish((vectors @ turn[:, np.argsort(-value)[:RANK]]).astype(np.float32))
+    right = []
+    for space in spaces:
+        wide = min(max(RANK, len(space.own)) + EXTRA, len(space.vocabulary))
+        start = np.hstack([space.item_vectors().T, random.standard_normal((len(space.vocabulary), wide))])
+        right.append(np.linalg.qr(start[:, :wide])[0].astype(np.float32))
+    corpus, trace = corpus_products(docs, spaces, right, idf)
+    for k, space in enumerate(spaces):
+        of_items, own = space.of_items(right[k])
+        product = BENCHMARK_SHARE / max(own, 1e-9) * of_items + (1 - BENCHMARK_SHARE) / max(trace[k], 1e-9) * corpus[k]
+        product += 1e-6 * max(1e-9, np.linalg.norm(product)) * right[k]
+        value, turn = np.linalg.eigh((right[k].T @ product + product.T @ right[k]) / 2)
+        factor = product @ (turn / np.sqrt(np.maximum(value, 1e-7 * value[-1])))
+        space.finish(np.linalg.svd(factor, full_matrices=False)[0][:, :RANK].astype(np.float32))
     return items, spaces
 
 
@@ -455,7 +521,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing, nor do items without words; items of fewer than LEAST_WORDS words are found where they are a whole document.
     A null doc_id or item_id is returned as null; equal texts get equal rows; items with one text are all found; other
     columns are not read. benchmark(item_id, text) may have a column `answer`. An empty table of either gives no rows.
-    Each PASS_ITEMS items are one more pass over docs.
+    Each PASS_ITEMS items are two more passes over docs, one to fit their spaces and one to search.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = "doc_id bigint, item_id bigint, share double, contaminated boolean"

@@ -215,6 +215,52 @@ def test_no_passage_of_many_is_lost(planted):
     assert clean == set(texts) - {d for d, _ in found}
 
 
+def test_spaces_follow_all_documents(spark, monkeypatch):
+    """Singular vectors change with what half of 4,000 documents say, whichever half that is."""
+    for name, value in (("RANK", 8), ("EXTRA", 4), ("ENERGY", 0.0)):
+        monkeypatch.setattr(decontaminate, name, value)
+    items = decontaminate.item_words([(k, " ".join(f"w{(20 * k + i) % 240}" for i in range(30)), None) for k in range(12)])
+    idf = np.full(decontaminate.CELLS, 2.0, np.float32)
+    ids = spark.range(4000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < 500_000).alias("half"))
+    filler, other = F.concat_ws(" ", F.lit("filler"), "doc_id"), F.expr("concat_ws(' ', transform(sequence(0, 9), i -> concat('w', pmod(doc_id * 7 + 31 * i, 40))))")
+    found = []
+    for text in (filler, F.when(F.col("half"), other).otherwise(filler), F.when(F.col("half"), filler).otherwise(other)):
+        _, (space,) = decontaminate.fit(ids.select("doc_id", text.alias("text")), items, idf)
+        found.append(space.basis @ space.basis.T)
+    assert all(np.abs(found[0] - x).max() > 0.01 for x in found[1:])
+
+
+@pytest.mark.parametrize("words", [0, 4608])
+def test_products_of_all_passages(spark, planted, monkeypatch, words):
+    """In both forms: the products of one pass over all documents are those of plain numbers."""
+    monkeypatch.setattr(decontaminate, "PAIR_WORDS", words)
+    monkeypatch.setattr(decontaminate, "PRODUCT_ROWS", 100)
+    docs, bench, _ = planted
+    (rows,) = decontaminate._blocks(bench)
+    idf = decontaminate.inverse_frequencies(docs)
+    items = decontaminate.Items(rows, idf)
+    spaces = [decontaminate.Space(items, np.arange(at, at + 100), idf) for at in (0, 100)]
+    right = [np.random.default_rng(3).standard_normal((len(s.vocabulary), 5)).astype(np.float32) for s in spaces]
+    got, traces = decontaminate.corpus_products(docs, spaces, right, idf)
+    texts = [_split(r["text"]) for r in docs.select("text").collect()]
+    for k, space in enumerate(spaces):
+        row = {int(h): j for j, h in enumerate(space.vocabulary.hashes.tolist())}
+        want, trace = np.zeros(right[k].shape), 0.0
+        for text in texts:
+            hashes = decontaminate.tokens(pa.array([" ".join(text)]))[0]
+            for at in range(0, len(hashes), decontaminate.PASSAGE):
+                own = hashes[at : at + decontaminate.PASSAGE]
+                a, weight = np.zeros(len(row)), idf[decontaminate.cell(own)]
+                for h, w in zip(own.tolist(), weight.tolist()):
+                    if h in row:
+                        a[row[h]] += w
+                a /= np.sqrt((weight.astype(float) ** 2).sum())
+                some = np.flatnonzero(a)
+                want[some] += np.outer(a[some], a[some] @ right[k][some])
+                trace += a @ a
+        assert np.allclose(got[k], want, rtol=1e-3, atol=1e-3 * np.abs(want).max()) and traces[k] == pytest.approx(trace, rel=1e-3)
+
+
 def test_passages_of_a_larger_corpus(spark):
     """At sf0.1: every exact copy, copies of which a fifth of the words are others, and no share of energy below the limit."""
     sf, random = "/root/testdata/sf0.1", np.random.default_rng(4)
