@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -94,8 +95,15 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed: Python workers stay for later stages, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into pieces of about most bytes in column number text; a row is never cut."""
+    """The batches cut into pieces of about most bytes in column number text; a row is never cut. Freed memory is given back at the end."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         whole, at = np.cumsum(sizes), 0
@@ -103,6 +111,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE_BYTES
             to = max(at + 1, int(np.searchsorted(whole, whole[at] - sizes[at] + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    batch = None
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -395,8 +395,11 @@ def by_frequency(vocabulary: Vocabulary, idf: np.ndarray) -> np.ndarray:
     return out
 
 
-def add_pairs(table_: np.ndarray, vocabulary: Vocabulary, idf: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> None:
-    """Add T to table_, where T + T^T is A^T A for the unit TF-IDF rows A of the passages of a batch, words by_frequency()."""
+def add_pairs(flat: np.ndarray, vocabulary: Vocabulary, idf: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> None:
+    """Add T to flat, where T + T^T is A^T A for the unit TF-IDF rows A of the passages of a batch, words by_frequency().
+
+    T has nothing above its diagonal: flat has the rows below, row k of k + 1 numbers.
+    """
     starts, sizes = passages_of(first)
     if not len(starts):
         return
@@ -404,17 +407,18 @@ def add_pairs(table_: np.ndarray, vocabulary: Vocabulary, idf: np.ndarray, hashe
     all_owners = np.repeat(np.arange(len(starts)), sizes)[at]
     norm = np.sqrt(np.add.reduceat(idf[cell(hashes)] ** 2, starts))
     values = idf[cell(vocabulary.hashes)][row] / np.maximum(norm[all_owners], 1e-6)
-    rows, flat = by_frequency(vocabulary, idf)[row], table_.reshape(-1)
+    rows = by_frequency(vocabulary, idf)[row]
     ends = np.append(np.searchsorted(all_owners, np.arange(PAIR_PASSAGES, len(starts), PAIR_PASSAGES)), len(rows))
     for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
         owner, value, row = all_owners[lo:hi], values[lo:hi], rows[lo:hi]
-        np.add.at(flat, row * (len(vocabulary) + 1), value**2 / 2)
+        np.add.at(flat, row * (row + 3) // 2, value**2 / 2)
         for apart in range(1, min(PASSAGE, len(row))):
             same = owner[apart:] == owner[:-apart]
             if not same.any():
                 break
             one, other = row[:-apart][same], row[apart:][same]
-            np.add.at(flat, np.minimum(one, other) * len(vocabulary) + np.maximum(one, other), (value[:-apart] * value[apart:])[same])
+            high = np.maximum(one, other)
+            np.add.at(flat, high * (high + 1) // 2 + np.minimum(one, other), (value[:-apart] * value[apart:])[same])
 
 
 def corpus_products(docs: DataFrame, spaces: list[Space], right: list[np.ndarray], idf: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -426,7 +430,7 @@ def corpus_products(docs: DataFrame, spaces: list[Space], right: list[np.ndarray
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, factors, words, idf = shared.value
         total, traces = [np.zeros(x.shape, np.float32) for x in factors], np.zeros(len(own))
-        pairs = np.zeros((len(words),) * 2, np.float32) if words else None
+        pairs = np.zeros(len(words) * (len(words) + 1) // 2, np.float32) if words else None
         for batch in pieces(batches, 0):
             hashes, first = tokens(batch.column(0))
             if words:
@@ -439,8 +443,12 @@ def corpus_products(docs: DataFrame, spaces: list[Space], right: list[np.ndarray
         for k, space in enumerate(own):
             if words:
                 at = by_frequency(words, idf)[np.searchsorted(words.hashes, space.vocabulary.hashes)]
-                part = pairs[np.ix_(at, at)]
-                total[k], traces[k] = part @ factors[k] + part.T @ factors[k], 2 * np.trace(part, dtype=np.float64)
+                traces[k] = 2 * pairs[at * (at + 3) // 2].sum(dtype=np.float64)
+                for lo in range(0, len(at), PRODUCT_ROWS):
+                    own_rows = at[lo : lo + PRODUCT_ROWS, None]
+                    high = np.maximum(own_rows, at)
+                    part = pairs[high * (high + 1) // 2 + np.minimum(own_rows, at)]
+                    total[k][lo : lo + PRODUCT_ROWS] = (part * np.where(own_rows == at, 2, 1).astype(np.float32)) @ factors[k]
             for block, lo in enumerate(range(0, len(total[k]), PRODUCT_ROWS)):
                 row = [[k], [block], [total[k][lo : lo + PRODUCT_ROWS].tobytes()], [traces[k] if not block else 0.0]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.float64()))], names=["space", "block", "part", "trace"])

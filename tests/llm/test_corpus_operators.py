@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from dictspark.llm import chat, components, decontaminate, jpeg, langid, licenses, linededup, minhash, mixing, quality, queries, tokenbin
+from dictspark.llm import chat, common, components, decontaminate, jpeg, langid, licenses, linededup, minhash, mixing, quality, queries, tokenbin
 from dictspark.llm.common import discard, fold, free_names, materialize, pieces, release_scratch, scratch_tables, table
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +65,14 @@ def test_pieces():
     assert [x.column(1).to_pylist() for x in pieces([batch, batch.slice(5)], 0, 20)] == [[0, 1], [2], [3, 4]]
 
 
+def test_memory_is_given_back(monkeypatch):
+    """Once for each task, after its last piece."""
+    said, batch = [], pa.record_batch([pa.array(["a" * 10, "b" * 10])], names=["t"])
+    monkeypatch.setattr(common, "give_back", lambda: said.append(1))
+    found = pieces([batch, batch], 0, 10)
+    assert [len(said) for _ in found] == [0] * 4 and said == [1]
+
+
 # 1: token files
 
 
@@ -230,6 +238,15 @@ def test_spaces_follow_all_documents(spark, monkeypatch):
     assert all(np.abs(found[0] - x).max() > 0.01 for x in found[1:])
 
 
+def test_clean_documents_by_all_documents(spark, monkeypatch):
+    """The stage of the pipeline fits its spaces on every document that it is given."""
+    seen, plain = [], decontaminate.corpus_products
+    monkeypatch.setattr(decontaminate, "corpus_products", lambda docs, *more: seen.append(docs.count()) or plain(docs, *more))
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), "id").alias("text"))
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
+    assert decontaminate.keep_clean(docs, bench).count() == 5000 and seen == [5000]
+
+
 @pytest.mark.parametrize("words", [0, 4608])
 def test_products_of_all_passages(spark, planted, monkeypatch, words):
     """In both forms: the products of one pass over all documents are those of plain numbers."""
