@@ -44,6 +44,16 @@ def upper(w: Column) -> Column:
     return F.upper(w)
 
 
+#: Letters whose capital has several letters, and the single one that each has instead: its own, or the letter itself.
+_LONG = [c for c in map(chr, range(0x110000)) if len(c.upper()) > 1]
+_SHORT = ["ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _LONG]
+
+
+def upper_letter(c: Column) -> Column:
+    """The capital of one letter as one letter: ẞ for ß, not SS."""
+    return F.when(F.char_length(F.upper(c)) <= 1, F.upper(c)).otherwise(F.translate(c, "".join(_LONG), "".join(_SHORT)))
+
+
 def capitalize(w: Column) -> Column:
     head, rest = F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30)
     return F.when(F.char_length(w) == 1, F.array(head)).otherwise(F.transform(lower(rest), lambda x: F.concat(head, x)))

@@ -146,6 +146,25 @@ def duck():
     return con
 
 
+def _same_as_sql(spark, folder, name, texts, items=()):
+    """Rows of a query over documents in English with these texts, held against its SQL."""
+    spark.createDataFrame([(k, x, "en") for k, x in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, x) for k, x in enumerate(items)], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    got, want = queries.QUERIES[name](spark, str(folder)).toPandas(), con.execute(queries.ORACLES[name]).df()
+    cols = sorted(got.columns)
+    a, b = (sorted(map(tuple, x[cols].astype(str).values.tolist())) for x in (got, want))
+    assert a == b
+    return a
+
+
+def test_initial_letters_without_a_short_capital(spark, tmp_path):
+    """The capital of an initial is one letter: that of a sharp s is no SS."""
+    assert ("1", "ẞ") in _same_as_sql(spark, tmp_path, "homonyms_ignorecase", ["maß ß ŉa ǰ ᾳ ﬁn " * 5])
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, duck, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
