@@ -189,6 +189,8 @@ class Rules:
         self.affixes: dict[str, dict[str, list[Affix]]] = {"PFX": {}, "SFX": {}}
         self.rep: list[tuple[re.Pattern, str]] = []
         self.map: list[list[str]] = []
+        #: Changes by MAP in one word; None: any number.
+        self.map_changes: int | None = None
         self.breaks: list[re.Pattern] = [break_pattern(x) for x in ("-", "^-", "-$")]
         self.iconv: Conversion | None = None
         self.oconv: Conversion | None = None
