@@ -45,7 +45,7 @@ def upper(w: Column) -> Column:
 
 
 #: Letters whose capital has several letters, and the single one that each has instead: its own, or the letter itself.
-_LONG = [c for c in map(chr, range(0x110000)) if len(c.upper()) > 1]
+_LONG = [c for c in map(chr, range(0x10000)) if len(c.upper()) > 1]
 _SHORT = ["ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _LONG]
 
 

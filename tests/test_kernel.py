@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import re
 import zipfile
@@ -204,3 +205,18 @@ def test_published_fixture(name):
         for k, w in enumerate(lines(f"{name}.wrong")):
             if w not in PENDING_WORDS:
                 assert list(d.suggest(w)) == (rows[k] if k < len(rows) else []), w
+
+
+def test_compounds_by_rules_letter_by_letter():
+    """The automaton says of every word whether there is a compound; neighbours are compared once, not in each word."""
+    every = ["", "COMPOUNDMIN 2\n", "COMPOUNDWORDMAX 2\n", "CHECKCOMPOUNDDUP\nCHECKCOMPOUNDTRIPLE\n", "CHECKCOMPOUNDREP\nREP 1\nREP ab ba\n", "CHECKCOMPOUNDPATTERN 1\nCHECKCOMPOUNDPATTERN b a\n", "FORCEUCASE u\nCOMPOUNDFORBIDFLAG f\n", "CHECKCOMPOUNDCASE\n"]
+    for more in every:
+        least = "" if "COMPOUNDMIN" in more else "COMPOUNDMIN 1\n"
+        d = Dictionary.from_bytes(f"SET UTF-8\n{least}{more}COMPOUNDRULE 3\nCOMPOUNDRULE x*yz?\nCOMPOUNDRULE zx\nCOMPOUNDRULE y?y?\n".encode(), "9\na/x\nab/xy\nb/yu\nba/z\naab/y\nabb/zf\nb/x\nB/z\nbba\n".encode())
+        words = ["".join(x) for n in range(1, 8) for x in itertools.product("ab", repeat=n)] + ["aB", "Aab", "ABB", "abBA", "Abab", ""]
+        right = {w: next(d.speller.all_readings(w), None) is not None for w in words}
+        assert 0 < sum(right.values()) < len(words) and {w: d.speller.good(w) for w in words} == right, more
+    d = Dictionary.from_bytes(b"COMPOUNDMIN 1\nCOMPOUNDRULE 1\nCOMPOUNDRULE n*t\n", "\n".join(["20", *(f"{k}/n" for k in range(10)), *(f"{k}th/t" for k in range(10))]).encode())
+    met, may_meet = [], d.speller.may_meet
+    d.speller.may_meet = lambda *x: met.append(x) or may_meet(*x)
+    assert all(d.lookup(f"{k}th") for k in range(10**6, 10**6 + 9000)) and len(met) <= 2000
