@@ -30,7 +30,7 @@ def _layer(df: DataFrame, table: DataFrame, kind: str, base: str, longest: int)
     """df with __stem, __rule and __step, one row for each rule of the table that may have made base."""
     w = F.col(base)
     ends = F.sequence(F.lit(0), F.least(F.char_length(w), F.lit(longest))) if longest >= 0 else F.array().cast("array<int>")
-    rows = df.withColumn("__n", F.explode(ends))
+    rows = df.withColumn("__n", F.explode_outer(ends))  # explode() would add a filter, computed again wherever it is pushed to
     own = F.right(w, F.col("__n")) if kind == "SFX" else F.left(w, F.col("__n"))
     left = F.char_length(w) - F.col("__n")
     rest = F.when(left == 0, "").otherwise(F.left(w, left) if kind == "SFX" else F.right(w, left))

@@ -16,7 +16,7 @@ def compounds(df: DataFrame, words: DataFrame, flag: str | None = None, begin: s
     """
     marks = {place: [x for x in (flag, own) if x is not None] for place, own in (("begin", begin), ("middle", middle), ("end", end))}
     tables = {place: words.where(F.arrays_overlap("flags", F.array(*map(F.lit, own)))).select(F.col("stem").alias("part")).where(F.length("part") >= least).distinct() if own else None for place, own in marks.items()}
-    state = df.select(F.col(word).alias("word")).where(F.length("word") >= 2 * least).distinct().select("word", F.col("word").alias("rest"), F.array().cast("array<string>").alias("parts"))
+    state = df.select(F.col(word).alias("word")).where("word is not null").distinct().select("word", F.col("word").alias("rest"), F.array().cast("array<string>").alias("parts"))
     longest = words.agg(F.max(F.length("stem"))).first()[0] or 0
     found = None
     apart = F.lit(True)
@@ -35,7 +35,7 @@ def compounds(df: DataFrame, words: DataFrame, flag: str | None = None, begin: s
         if depth == most - 1 or table is None:
             break
         sizes = F.expr(f"if(length(rest) >= {2 * least}, sequence({least}, least(length(rest) - {least}, {longest})), array())")
-        cut = state.withColumn("__n", F.explode(F.filter(sizes, lambda n: n >= least))).withColumn("part", F.left("rest", F.col("__n")))
+        cut = state.withColumn("__n", F.explode_outer(F.filter(sizes, lambda n: n >= least))).withColumn("part", F.left("rest", F.col("__n")))
         grown = cut.join(table, "part")
         grown = grown.where(apart) if depth else grown
         state = grown.select("word", F.expr("substring(rest, __n + 1)").alias("rest"), F.array_append("parts", F.col("part")).alias("parts"))

@@ -46,12 +46,12 @@ def _tried(distinct: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rul
     """Every hypothesis about distinct(word), those without an entry too, and whether it is a reading: ok."""
     w = F.col("word")
     forms = distinct.withColumns({"kind": casing.kind(w), "__forms": casing.variants(w) if recase else F.array(w)})
-    forms = forms.select("word", "kind", F.posexplode("__forms").alias("variant", "form"))
+    forms = forms.select("word", "kind", F.posexplode_outer("__forms").alias("variant", "form"))
     found = hypotheses(forms, affixes, "form", rules["COMPLEXPREFIXES"])
     entries = words.select("stem", "flags", "captype", "line_no", F.lit(False).alias("folded"))
     if recase:
         # Words in capitals may also be entries written in mixed case: by lower-cased stem, one of each kind of entry.
-        folded = lower_keys(words).join(words.select("line_no", "flags", "captype"), "line_no").groupBy(F.col("key").alias("stem"), "flags", "captype").agg(F.min("line_no").alias("line_no"))
+        folded = lower_keys(words, "flags", "captype").groupBy(F.col("key").alias("stem"), "flags", "captype").agg(F.min("line_no").alias("line_no"))
         entries = entries.unionByName(folded.withColumn("folded", F.lit(True)))
     joined = found.join(entries, "stem", "left")
     capitals = (F.col("kind") == "ALL") & (casing.kind(F.col("form")) == "NO")

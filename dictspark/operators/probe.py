@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 
 
-def lower_keys(words: DataFrame) -> DataFrame:
-    """(key, line_no): entries by lower-cased stem; those in lower case by each of their letters, as Lexicon.by_lower."""
+def lower_keys(words: DataFrame, *more: str) -> DataFrame:
+    """(key, line_no, more...): entries by lower-cased stem; those in lower case by each of their letters, as Lexicon.by_lower."""
     letters = F.array_distinct(F.filter(F.split("stem", ""), lambda c: c != ""))
     lowered = F.array(F.replace(F.lower("stem"), F.lit("i̇"), F.lit("i")))
-    return words.select(F.explode(F.when(F.col("captype") == "NO", letters).otherwise(lowered)).alias("key"), "line_no")
+    return words.select(F.explode(F.when(F.col("captype") == "NO", letters).otherwise(lowered)).alias("key"), "line_no", *more)
 
 
 def homonyms(df: DataFrame, words: DataFrame, column: str = "word", ignore_case: bool = False) -> DataFrame:
     """df joined with all entries whose stem is the word; ignore_case: by lower_keys()."""
     if ignore_case:
-        words = lower_keys(words).withColumnRenamed("key", "__key").join(words, "line_no")
+        words = lower_keys(words, *(c for c in words.columns if c != "line_no")).withColumnRenamed("key", "__key")
     else:
         words = words.withColumn("__key", F.col("stem"))
     return df.join(words, F.col(column) == F.col("__key")).drop("__key")

@@ -24,9 +24,13 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def table_tokens(docs: DataFrame, *by: str, text: str = "text", lower: bool = True) -> DataFrame:
-    """(by..., word): a row for each token of docs."""
+    """(by..., word): a row for each token of docs.
+
+    By explode_outer(): for explode() Spark adds a filter that finds all tokens a second time. Words are said not to be null
+    here, so that what joins and callers say of it later changes no plan below the exchange of counts.
+    """
     found = tokens(F.lower(F.col(text)) if lower else F.col(text))
-    return docs.select(*by, F.explode(found).alias("word"))
+    return docs.select(*by, F.explode_outer(found).alias("word")).where("word is not null")
 
 
 def token_counts(docs: DataFrame, *by: str, text: str = "text", lower: bool = True) -> DataFrame:
@@ -36,13 +40,21 @@ def token_counts(docs: DataFrame, *by: str, text: str = "text", lower: bool = Tr
 
 def error_rates(docs: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rules, *by: str, text: str = "text") -> DataFrame:
     """(by..., tokens, good): tokens and right tokens of docs."""
-    counts = token_counts(spread(docs), *by, text=text).where("count > 0")
+    return rates(token_counts(spread(docs), *by, text=text).where("count > 0"), words, affixes, rules, *by)
+
+
+def rates(counts: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rules, *by: str) -> DataFrame:
+    """error_rates() of tokens that have been counted: counts has (by..., word, count)."""
     joined = counts.join(checked(counts, words, affixes, rules), "word")
     return joined.groupBy(*by).agg(F.sum("count").alias("tokens"), F.sum(F.when(F.col("correct"), F.col("count")).otherwise(0)).alias("good"))
 
 
 def top_misspellings(docs: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rules, k: int = 100, text: str = "text") -> DataFrame:
     """(word, count): the k most frequent wrong words, ties by word."""
-    counts = token_counts(spread(docs), text=text).where("count > 0")
+    return most_frequent_wrong(token_counts(spread(docs), text=text).where("count > 0"), words, affixes, rules, k)
+
+
+def most_frequent_wrong(counts: DataFrame, words: DataFrame, affixes: DataFrame, rules: Rules, k: int = 100) -> DataFrame:
+    """top_misspellings() of tokens that have been counted: counts has (word, count)."""
     wrong = checked(counts, words, affixes, rules).where("not correct").select("word")
     return counts.join(wrong, "word").orderBy(F.desc("count"), "word").limit(k)

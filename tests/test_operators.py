@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -230,6 +232,15 @@ def test_tokens_are_read_once(spark):
         assert plan.count("ReusedExchange") or plan.count("Generate") == 1, plan
 
 
+def test_texts_are_read_once(spark):
+    """What is asked of words or stems stays above the one exchange of counts; nothing is worked out for each token."""
+    for name in ("lookup_affix", "lookup_forbidden", "error_rate_by_lang", "top_misspelled", "compound_flags", "has_flag_any"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        found = [re.sub(r"#\d+L?", "", plan[k - 1].strip(" :+-")) for k, line in enumerate(plan) if "regexp_extract_all" in line]
+        assert len(found) > 1 and set(found) == {"Filter isnotnull(word)"}, (name, set(found))
+        assert not any("regexp_extract_all" in line for line in plan if "Filter" in line), name
+
+
 def test_mapped_goes_on_behind_each_change():
     def by_definition(w, start=0):
         """Each change of a first spelling, then what changes further on make of it."""
