@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from dictspark.kernel.casing import Casing
@@ -53,17 +54,20 @@ class Affix:
         return self.add + stem[len(self.strip) :]
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Entry:
-    """One line of the word list."""
+    """One line of the word list. Each process that checks words holds all entries: equal flags and empty tags are shared."""
 
     line: int
     stem: str
     flags: frozenset[str]
     data: dict[str, list[str]] = field(default_factory=dict)
-    spellings: list[str] = field(default_factory=list)
+    spellings: Sequence[str] = ()
     kind: str = "NO"
 
+    def __reduce__(self):
+        return Entry, (self.line, self.stem, self.flags, self.data, self.spellings, self.kind)
+
 
 class Conversion:
     """Replaces, from left to right, the longest pattern that begins at each place; nothing is replaced twice.

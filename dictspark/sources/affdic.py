@@ -146,8 +146,12 @@ def parse_tags(text: str, aliases: dict[str, list[str]]) -> dict[str, list[str]]
     return found
 
 
-def parse_line(number: int, line: str, reader_rules: Rules) -> Entry:
-    """One line of a .dic file: stem, flags after a slash (\\/ is part of the stem), tags after a tab or ` xy:`."""
+def parse_line(number: int, line: str, reader_rules: Rules, shared: dict | None = None) -> Entry:
+    """One line of a .dic file: stem, flags after a slash (\\/ is part of the stem), tags after a tab or ` xy:`.
+
+    shared: sets of flags of other lines, and no tags, of which one object each is enough.
+    """
+    shared = {} if shared is None else shared
     cuts = [m.start() for m in (_TAG.search(line), re.search("\t", line)) if m and m.start()]
     cut = min(cuts, default=len(line))
     stem, tags = line[:cut], parse_tags(line[cut:], reader_rules.tag_aliases)
@@ -156,7 +160,8 @@ def parse_line(number: int, line: str, reader_rules: Rules) -> Entry:
     stem = stem.replace("\\/", "/")
     if reader_rules["IGNORE"]:
         stem = stem.translate({ord(c): None for c in reader_rules["IGNORE"]})
-    return Entry(number, stem, frozenset(split_flags(flags, reader_rules["FLAG"], reader_rules.flag_aliases)), tags, [], reader_rules.casing.kind(stem))
+    own = frozenset(split_flags(flags, reader_rules["FLAG"], reader_rules.flag_aliases))
+    return Entry(number, stem, shared.setdefault(own, own), tags or shared.setdefault("", tags), (), reader_rules.casing.kind(stem))
 
 
 def parse_words(raw: bytes, rules: Rules) -> list[Entry]:
@@ -166,11 +171,11 @@ def parse_words(raw: bytes, rules: Rules) -> list[Entry]:
     spelling of the stem; all are added to rules.rep.
     """
     text, _ = decoded(raw, rules["SET"])
-    out = []
+    out, shared = [], {}
     for number, line in numbered_lines(text):
         if number == 1 and _COUNT.match(line):
             continue
-        entry = parse_line(number, line, rules)
+        entry = parse_line(number, line, rules, shared)
         for wrong in entry.data.get("ph", ()):
             if wrong.endswith("*"):
                 pair = wrong[:-2], entry.stem[:-1]
@@ -178,7 +183,7 @@ def parse_words(raw: bytes, rules: Rules) -> list[Entry]:
                 pair = tuple(wrong.split("->", 1))
             else:
                 pair = wrong, entry.stem
-                entry.spellings.append(wrong)
+                entry.spellings = [*entry.spellings, wrong]
             rules.rep.append((re.compile(pair[0]), pair[1]))
         out.append(entry)
     return out

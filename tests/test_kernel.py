@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import itertools
 import os
+import pickle
 import re
+import tracemalloc
 import zipfile
 from pathlib import Path
 
@@ -220,3 +222,19 @@ def test_compounds_by_rules_letter_by_letter():
     met, may_meet = [], d.speller.may_meet
     d.speller.may_meet = lambda *x: met.append(x) or may_meet(*x)
     assert all(d.lookup(f"{k}th") for k in range(10**6, 10**6 + 9000)) and len(met) <= 2000
+
+
+def test_entries_are_small():
+    """Every worker holds all entries: as they arrive there, they take some 300 bytes each, with the table by stem."""
+    lines = [f"{a}{b}{c}{d}/SDGYLU" for a in "bcdfgklmnprst" for b in "aeiouy" for c in "bcdfgklmnprst" for d in ("an", "ed", "ic", "or", "um")]
+    sent = pickle.dumps(Dictionary.from_bytes(b"SET UTF-8\nSFX S Y 1\nSFX S 0 s .\n", "\n".join([*lines, "pin ph:pynn"]).encode()))
+    tracemalloc.start()
+    try:
+        d = pickle.loads(sent)
+        assert d.lookup("badans") and not d.lookup("badanx")
+        assert tracemalloc.get_traced_memory()[0] < 400 * len(lines)
+    finally:
+        tracemalloc.stop()
+    assert d.entries[0].flags is d.entries[1].flags and d.entries[0].data is d.entries[1].data
+    assert list(d.entries[-1].spellings) == ["pynn"] and d.entries[0].spellings == () and len(d.lexicon.named("badan")) == 1
+    assert [len(Dictionary.from_bytes(b"", b"a/x\na/y\na/z\n").lexicon.named(w)) for w in "ab"] == [3, 0]
