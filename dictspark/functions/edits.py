@@ -83,11 +83,16 @@ def inserted(w: Column, letters: str) -> Column:
 
 
 def exchanged(w: Column, letters: str) -> Column:
-    def by(c: Column) -> Column:
-        places = F.filter(F.reverse(_range(0, F.char_length(w))), lambda i: _at(w, i) != c)
-        return F.transform(places, lambda i: F.concat(F.left(w, i), c, _tail(w, i + 1)))
+    if not letters:
+        return _none()
+    cut = F.transform(F.reverse(_range(0, F.char_length(w))), lambda i: F.struct(F.left(w, i).alias("head"), _at(w, i).alias("own"), _tail(w, i + 1).alias("rest")))
+
+    def by(places: Column, c: Column) -> Column:
+        return F.transform(F.filter(places, lambda x: x["own"] != c), lambda x: F.concat(x["head"], c, x["rest"]))
 
-    return _each(letters, by)
+    # The word is cut once for all letters: a list of one list of places, as a lambda's variable.
+    every = F.transform(F.array(cut), lambda places: F.flatten(F.transform(F.array(*map(F.lit, letters)), lambda c: by(places, c))))
+    return F.element_at(every, 1)
 
 
 def moved(w: Column) -> Column:

@@ -47,6 +47,12 @@ def test_edits_like_kernel(words):
             assert r[n] == list(f(r["w"])), (n, r["w"])
 
 
+def test_words_are_cut_once_for_all_letters(words):
+    """exchanged() cuts a word before it goes through the letters, not for each of them."""
+    plan = words.select(edits.exchanged(F.col("w"), "esa"))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("reverse(") < plan.index("array(e, s, a)")
+
+
 def test_metrics_like_kernel(words):
     a, b = F.col("a"), F.col("b")
     pairs = words.select(F.col("w").alias("a")).crossJoin(words.select(F.col("w").alias("b")))  # 21 words
